@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lurewatch.functions.barrier import compute_once
+
 # Optional control characters, optional scheme, optional authority.
 _PREFIX = r"^[\x00-\x20]*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?(?://[^/?#]*)?"
 # Schemes whose last path segment may carry ';parameters'.
 _PARAM_SCHEMES = ["", "ftp", "hdl", "prospero", "http", "https", "shttp", "rtsp", "rtsps", "rtspu",
                   "sip", "sips", "mms", "sftp", "tel"]
 
-PART_COLUMNS = ["_u", "_clean", "_prefix", "_rest", "_netloc", "_valid", "_before", "_host", "_scheme",
-                "_path", "_params", "_query", "_fragment"]
+PART_COLUMNS = ["_u", "_netloc", "_valid", "_host", "_scheme", "_path", "_params", "_query", "_fragment"]
 
 
 def _after(text: Column, head: Column, mark: str) -> Column:
@@ -50,9 +51,8 @@ def with_url_parts(df: DataFrame, url: str = "url") -> DataFrame:
         "_path",
         F.when(F.col("_rawpath").contains(";") & F.col("_scheme").isin(_PARAM_SCHEMES),
                F.regexp_replace("_rawpath", ";[^/]*$", "")).otherwise(F.col("_rawpath")))
-    return df.withColumn(
-        "_params", F.substring(F.col("_rawpath"), F.length("_path") + 2, F.length("_rawpath"))
-    ).drop("_rawpath")
+    df = df.withColumn("_params", F.substring(F.col("_rawpath"), F.length("_path") + 2, F.length("_rawpath")))
+    return compute_once(df.drop("_rawpath", "_clean", "_prefix", "_rest", "_before"), PART_COLUMNS)
 
 
 def strip_www(host: Column) -> Column:

@@ -31,7 +31,7 @@ def node_table(model: PipelineModel, spark: SparkSession) -> DataFrame:
         F.col("treeID").alias("tree"), n["id"].alias("node"), n["prediction"].alias("prediction"),
         n["rawCount"].cast("double").alias("cover"), n["leftChild"].alias("left"), n["rightChild"].alias("right"),
         n["split"]["featureIndex"].alias("feature"),
-        n["split"]["leftCategoriesOrThreshold"][0].alias("threshold"))
+        F.get(n["split"]["leftCategoriesOrThreshold"], 0).alias("threshold"))
 
 
 def _shares(z: np.ndarray, value: float) -> np.ndarray:

@@ -13,6 +13,7 @@ from lurewatch.functions.ordered import running_totals
 from lurewatch.operators.features import url_features
 from lurewatch.operators.mutate import mutate_all
 from lurewatch.operators.rules import rule_hits
+from lurewatch.workspace import materialize
 
 METRICS = ["accuracy", "precision", "recall", "f1", "mcc"]
 
@@ -51,9 +52,10 @@ def metrics(pred: DataFrame, by: list[str], digits: int = 4) -> DataFrame:
 
 
 def _score_table(pred: DataFrame, by: list[str]) -> DataFrame:
-    """Positives and negatives per distinct score: far fewer rows than predictions."""
-    return pred.groupBy(*by, "proba").agg(
-        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+    """Positives and negatives per distinct score, written out: the steps that follow read this table
+    several times, and the predictions behind it should be computed once."""
+    return materialize(pred.groupBy(*by, "proba").agg(
+        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")), "scores")
 
 
 def roc_auc(pred: DataFrame, by: list[str], digits: int = 4) -> DataFrame:

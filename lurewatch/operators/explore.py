@@ -49,7 +49,7 @@ def box_plot(df: DataFrame, column: str) -> DataFrame:
     """Quartiles, whiskers (furthest values within 1.5 IQR) and the number of outliers per class."""
     counts = _value_counts(df, column)
     q = counts.groupBy("label").agg(
-        F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), "c").alias("_q"))
+        F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("c")).alias("_q"))
     j = counts.join(q, "label")
     q1, q3 = F.col("_q")[0], F.col("_q")[2]
     inside = (F.col("v") >= q1 - 1.5 * (q3 - q1)) & (F.col("v") <= q3 + 1.5 * (q3 - q1))

@@ -11,33 +11,33 @@ from lurewatch.fixed.words import (
     TLD_RISK, TOP_BRANDS)
 from lurewatch.functions import text as T
 from lurewatch.functions.urlparts import PART_COLUMNS, second_last_label, strip_www, with_url_parts
-from lurewatch.workspace import broadcast_if_small
+from lurewatch.workspace import broadcast_if_small, materialize
 
 
 
-def _tld_risk(host: Column) -> Column:
+def _tld_risk(host: str) -> Column:
     """Lookup of the last two labels (hosts with three or more) and then of the last one."""
     by_risk = defaultdict(list)
     for ending, risk in TLD_RISK.items():
         by_risk[risk].append(ending)
+    branches = {n: "CASE " + " ".join(
+        f"WHEN substring_index({host}, '.', -{n}) IN ({T.quoted(e)}) THEN {r}D" for r, e in by_risk.items()) + " END"
+        for n in (1, 2)}
+    dots = f"length({host}) - length(replace({host}, '.', ''))"
+    return F.expr(f"CASE WHEN {dots} = 0 THEN {DEFAULT_TLD_RISK}D ELSE coalesce("
+                  f"CASE WHEN {dots} >= 2 THEN {branches[2]} END, {branches[1]}, {DEFAULT_TLD_RISK}D) END")
 
-    def lookup(ending: Column, otherwise) -> Column:
-        chain = F
-        for risk, endings in by_risk.items():
-            chain = chain.when(ending.isin(endings), F.lit(risk))
-        return chain.otherwise(otherwise)
 
-    single = lookup(F.substring_index(host, ".", -1), F.lit(DEFAULT_TLD_RISK))
-    dots = T.count_char(host, ".")
-    return (F.when(dots == 0, F.lit(DEFAULT_TLD_RISK))
-            .when(dots == 1, single)
-            .otherwise(lookup(F.substring_index(host, ".", -2), single)))
+def brand_distance(label: str) -> Column:
+    """Smallest edit distance from a domain label (a column name) to the compared brands."""
+    each = ", ".join(f"levenshtein({label}, {T.quoted([b])})" for b in TOP_BRANDS)
+    return F.expr(f"CASE WHEN {label} = '' THEN {NO_LABEL_DISTANCE} WHEN {label} IN ({T.quoted(TOP_BRANDS)}) THEN 0 "
+                  f"ELSE least({each}) END")
 
 
-def brand_distance(label: Column) -> Column:
-    """Smallest edit distance from a domain label to the compared brands."""
-    return (F.when(label == "", NO_LABEL_DISTANCE).when(label.isin(TOP_BRANDS), 0)
-            .otherwise(F.least(*[F.levenshtein(label, F.lit(b)) for b in TOP_BRANDS])))
+def _brand_in_tail() -> Column:
+    return F.expr(" OR ".join(f"(contains(_tail, {b}) AND NOT contains(_lnetloc, {b}))"
+                              for b in (T.quoted([w]) for w in SPOOFED_BRANDS)))
 
 
 def _domain_label() -> Column:
@@ -49,11 +49,12 @@ def brand_distance_cache(urls: DataFrame, url: str = "url", max_labels: int = 10
 
     Edit distances are the costliest feature, and domain labels follow a steep popularity curve. The
     cache is only a shortcut: labels outside it are computed in place, so any ``urls`` (a sample, or
-    yesterday's table) gives the same feature values.
+    yesterday's table) gives the same feature values. It is written to the shared folder, so that
+    jobs that use it do not count labels again.
     """
     labels = with_url_parts(urls.select(url), url).select(_domain_label().alias("_label"))
-    return (labels.groupBy("_label").count().orderBy(F.desc("count"), "_label").limit(max_labels)
-            .select("_label", brand_distance(F.col("_label")).alias("_distance")))
+    top = labels.groupBy("_label").count().orderBy(F.desc("count"), "_label").limit(max_labels)
+    return materialize(top.select("_label", brand_distance("_label").alias("_distance")), "brand-distance")
 
 
 def _with_work_columns(df: DataFrame, url: str) -> DataFrame:
@@ -79,17 +80,13 @@ def url_features(df: DataFrame, url: str = "url", cache: DataFrame | None = None
     df = _with_work_columns(df, url)
     if cache is not None:
         df = df.join(broadcast_if_small(cache), "_label", "left")
-        distance = F.coalesce(F.col("_distance"), brand_distance(F.col("_label")))
+        distance = F.coalesce(F.col("_distance"), brand_distance("_label"))
     else:
-        distance = brand_distance(F.col("_label"))
+        distance = brand_distance("_label")
 
     u, special, length = F.col("_u"), F.col("_special"), F.length("_u")
     lower, lhost, host_nw = F.lower("_u"), F.col("_lhost"), F.col("_host_nw")
     empty = u == ""
-    spoofed = F.lit(False)
-    for brand in SPOOFED_BRANDS:
-        spoofed = spoofed | (F.col("_tail").contains(brand) & ~F.col("_lnetloc").contains(brand))
-
     df = df.withColumn("_lnetloc", F.lower("_netloc"))
     values = {
         "url_length": length,
@@ -110,16 +107,16 @@ def url_features(df: DataFrame, url: str = "url", cache: DataFrame | None = None
         "char_continuation_rate": T.ratio(F.when(length < 2, 0).otherwise(T.class_runs(u) - 1), length),
         "has_https": lower.startswith("https://").cast("int"),
         "has_shortener": strip_www(lhost).isin(SHORTENERS).cast("int"),
-        "has_login_keyword": T.contains_any(lower, LOGIN_KEYWORDS).cast("int"),
+        "has_login_keyword": T.contains_any("lower(_u)", LOGIN_KEYWORDS).cast("int"),
         "is_ip": (F.col("_valid") & (
             host_nw.rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$")
             | host_nw.rlike(r"^(?:0x[0-9a-fA-F]+\.){3}0x[0-9a-fA-F]+$")
             | (F.col("_netloc").contains("[") & F.col("_netloc").contains("]")))).cast("int"),
-        "brand_in_path_not_domain": (F.col("_valid") & spoofed).cast("int"),
+        "brand_in_path_not_domain": (F.col("_valid") & _brand_in_tail()).cast("int"),
         "recursive_decode_depth": T.decode_depth(u, F.col("_decoded")),
         "idn_homograph_flag": lhost.contains("xn--").cast("int"),
         "levenshtein_min": F.when(empty, 0).otherwise(distance),
-        "tld_risk_score": F.when(empty, F.lit(0.0)).otherwise(_tld_risk(lhost)),
+        "tld_risk_score": F.when(empty, F.lit(0.0)).otherwise(_tld_risk("_lhost")),
     }
     return df.select(*keep, *[values[name].alias(name) for name in FEATURES])
 

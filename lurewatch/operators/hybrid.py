@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lurewatch.fixed import texts
@@ -11,6 +9,8 @@ from lurewatch.fixed.rules import (
     AGREEMENT_BONUS, BOOST_WEIGHT, DECISION, ESCALATION_FLOOR, FOREST_WEIGHT, HIGH_RISK, RULES, SEVERITY,
     SUSPICIOUS, TRUSTED_LIMIT, TRUSTED_SCORE)
 from lurewatch.fixed.words import FEATURE_GROUPS, FEATURES, TRUSTED_DOMAINS
+from lurewatch.functions.barrier import compute_once
+from lurewatch.functions.text import quoted
 from lurewatch.functions.urlparts import with_url_parts
 
 
@@ -37,9 +37,8 @@ def with_trusted(df: DataFrame, url: str = "url", strict_host: bool = False) ->
     host = F.lower("_host")
     if strict_host:
         host = F.lower(F.substring_index(F.substring_index("_netloc", "@", -1), ":", 1))
-    df = df.withColumn("_h", host)
-    tests = [(F.col("_h") == d) | F.col("_h").endswith("." + d) for d in TRUSTED_DOMAINS]
-    return df.select(*keep, reduce(lambda a, b: a | b, tests).alias("trusted"))
+    suffix_tests = " OR ".join(f"endswith(_dotted, {quoted(['.' + d])})" for d in TRUSTED_DOMAINS)
+    return df.withColumn("_dotted", F.concat(F.lit("."), host)).select(*keep, F.expr(suffix_tests).alias("trusted"))
 
 
 def severity(score: Column) -> Column:
@@ -92,7 +91,9 @@ def hybrid_score(hits: DataFrame, layer2: str = "layer2", url: str = "url",
         severity_scale(F.col("final_score")).alias("cvss"),
         F.when(F.col("_blank"), F.lit(0.0)).when(~F.col("_high"), F.round(l2, 4)).alias("layer2_score"),
         F.coalesce(susp & ~F.col("_blank") & (l2 < DECISION), F.lit(False)).alias("escalated"))
-    return df.withColumn("explanation", _explanation()).drop("_l2", "_blank", "_high", "_susp")
+    df = df.withColumn("explanation", _explanation()).drop("_l2", "_blank", "_high", "_susp")
+    return compute_once(df, ["trusted", "final_score", "verdict", "score", "cvss", "layer2_score", "escalated",
+                             "explanation"])
 
 
 def split_fail_fast(hits: DataFrame, url: str = "url") -> tuple[DataFrame, DataFrame]:
@@ -152,7 +153,7 @@ def top_signals(df: DataFrame, key: str = "url_id") -> DataFrame:
 
 def technique_info(df: DataFrame, key: str = "url_id", techniques: str = "techniques") -> DataFrame:
     """One row per URL and technique with its texts; an unknown id is its own name."""
-    rows = df.select(key, F.posexplode(techniques).alias("_p", "technique"))
+    rows = df.select(key, F.posexplode_outer(techniques).alias("_p", "technique")).where("technique is not null")
     dim = df.sparkSession.createDataFrame(
         [(k, *v) for k, v in texts.TECHNIQUES.items()], "technique string, name string, plain string, jargon string")
     joined = rows.join(F.broadcast(dim), "technique", "left")  # six fixed rows

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lurewatch.fixed.rules import (
     AITM_PATTERNS, CLEAN, DECODE_DEPTH_MIN, HIGH_RISK, LAYER1_VERDICTS, RULE_NAMES, RULES, SUSPICIOUS,
     TLD_RISK_MIN, TYPOSQUAT_DISTANCE)
 from lurewatch.fixed.texts import NO_RULE_TEXT
+from lurewatch.functions.barrier import compute_once
+from lurewatch.functions.text import quoted
 
 
 def rule_dimension(spark) -> DataFrame:
@@ -40,15 +40,17 @@ def rule_hits(features: DataFrame, url: str = "url") -> DataFrame:
     """Append ``hit_<rule>`` flags, ``rules``, ``techniques`` and ``layer1_verdict``; one projection."""
     flagged = features.select("*", *[p.alias(f"hit_{r}") for r, p in _predicates(url).items()])
     none = F.array().cast("array<string>")
-    any_hit = reduce(lambda a, b: a | b, [_hit(r) for r in RULE_NAMES])
-    high = reduce(lambda a, b: a | b, [_hit(r) for r, severity, _, _ in RULES if severity == HIGH_RISK])
-    names = F.concat(*[F.when(_hit(r), F.array(F.lit(r))).otherwise(none) for r in RULE_NAMES])
-    techniques = F.array_distinct(F.concat(*[
-        F.when(_hit(r), F.array(*[F.lit(t) for t in tech])).otherwise(none) for r, _, tech, _ in RULES]))
-    return flagged.select(
+    any_hit = F.expr(" OR ".join(f"hit_{r}" for r in RULE_NAMES))
+    high = F.expr(" OR ".join(f"hit_{r}" for r, severity, _, _ in RULES if severity == HIGH_RISK))
+    lists = lambda pick: "concat(" + ", ".join(
+        f"if(hit_{rule[0]}, array({quoted(pick(rule))}), array())" for rule in RULES) + ")"
+    names = F.expr(lists(lambda rule: [rule[0]]))
+    techniques = F.expr(f"array_distinct({lists(lambda rule: rule[2])})")
+    ruled = flagged.select(
         "*", F.when(any_hit, names).otherwise(none).alias("rules"),
         F.when(any_hit, techniques).otherwise(none).alias("techniques"),
         F.when(high, HIGH_RISK).when(any_hit, SUSPICIOUS).otherwise(CLEAN).alias("layer1_verdict"))
+    return compute_once(ruled, [*[f"hit_{r}" for r in RULE_NAMES], "rules", "techniques", "layer1_verdict"])
 
 
 def rule_explanation(url: str = "url") -> Column:

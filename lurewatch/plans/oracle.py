@@ -40,7 +40,13 @@ def lst(values) -> str:
 
 
 def pct(a: str, b: str, d: int) -> str:
-    return f"round({a}*100.0::DOUBLE/{b},{d})"
+    return rnd(f"({a}*100.0::DOUBLE/{b})", d)
+
+
+def rnd(x: str, d: int) -> str:
+    """Half-up rounding of the shortest decimal form of a double; plain ``round`` scales the binary value and
+    errs on near ties."""
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,18)),{d}) AS DOUBLE)"
 
 
 # ---- inputs ---------------------------------------------------------------------------------
@@ -195,8 +201,8 @@ SELECT *, CASE WHEN blank THEN {q(texts.EMPTY_URL_TEXT)} WHEN high THEN {fmt(tex
    WHEN escalated THEN {fmt(texts.ESCALATED_TEXT, rl, three, "verdict")}
    ELSE {fmt(texts.SCORE_TEXT, three)} || CASE WHEN susp THEN ' ' || {fmt(texts.AGREEMENT_TEXT, rl)} ELSE '' END
      || CASE WHEN verdict='SAFE' THEN {q(' ' + texts.SAFE_TEXT)} ELSE '' END END AS explanation
-FROM (SELECT *, {_severity('final_score')} AS verdict, round(final_score,4) AS score, round(final_score*10,1) AS cvss,
-   CASE WHEN blank THEN 0.0::DOUBLE WHEN NOT high THEN round(layer2,4) END AS layer2_score,
+FROM (SELECT *, {_severity('final_score')} AS verdict, {rnd("final_score", 4)} AS score, {rnd("final_score*10", 1)} AS cvss,
+   CASE WHEN blank THEN 0.0::DOUBLE WHEN NOT high THEN {rnd("layer2", 4)} END AS layer2_score,
    susp AND NOT blank AND layer2<0.5 AS escalated
  FROM (SELECT *, CASE WHEN blank THEN 0.0::DOUBLE WHEN high THEN 1.0::DOUBLE WHEN susp AND layer2<0.5 THEN greatest(layer2,0.55::DOUBLE)
      WHEN susp THEN least(layer2+0.05::DOUBLE,1.0::DOUBLE) WHEN trusted AND layer2>0.3 THEN 0.15::DOUBLE ELSE layer2 END AS final_score
@@ -377,8 +383,8 @@ def _vscore(shift: str) -> str:
             f"+0.4999::DOUBLE*(((url_id*104729+{shift})%1000)::DOUBLE/1000.0::DOUBLE)")
 
 
-PIECES["advers"] = f"""SELECT v.url_id, original_url, v.url AS mutated_url, mutation, round(s0,4) AS score_before, round(s1,4) AS score_after,
-  round(s0-s1,4) AS score_drop, b.layer1_verdict AS heuristic_before, v.layer1_verdict AS heuristic_after,
+PIECES["advers"] = f"""SELECT v.url_id, original_url, v.url AS mutated_url, mutation, {rnd("s0", 4)} AS score_before, {rnd("s1", 4)} AS score_after,
+  {rnd("s0-s1", 4)} AS score_drop, b.layer1_verdict AS heuristic_before, v.layer1_verdict AS heuristic_after,
   (b.layer1_verdict='HIGH_RISK' OR s0>=0.5) AS detected_before, (v.layer1_verdict='HIGH_RISK' OR s1>=0.5) AS detected_after,
   (b.layer1_verdict='HIGH_RISK' OR s0>=0.5) AND NOT (v.layer1_verdict='HIGH_RISK' OR s1>=0.5) AS evaded
 FROM (SELECT *, {_vscore(f'(list_position({_MUT}, mutation)*131)')} AS s1 FROM varhits) v
@@ -502,7 +508,7 @@ O["scaled_features"] = sql(f"SELECT url_id, {_sc} FROM splitfeat, (SELECT {_st}
 O["class_weights"] = sql("SELECT label, count(*) AS n, round((SELECT count(*) FROM split2 WHERE split='train')::DOUBLE/(2.0::DOUBLE*count(*)),6) AS weight FROM split2 WHERE split='train' GROUP BY label")
 O["random_baseline"] = sql("SELECT url_id, label, pred, proba FROM randbase")
 O["ensemble_weights"] = sql("SELECT model, f1, round(f1/sum(f1) OVER (),4) AS weight FROM testmetrics WHERE model IN ('boosted','forest')")
-O["ensemble_score"] = sql("SELECT url_id, round(layer2,6) AS ensemble, (layer2>=0.5)::INTEGER AS pred FROM surr")
+O["ensemble_score"] = sql(f"SELECT url_id, {rnd('layer2', 6)} AS ensemble, (layer2>=0.5)::INTEGER AS pred FROM surr")
 PIECES["folds"] = ORACLES["stratified_folds"][ORACLES["stratified_folds"].index("SELECT url_id, label, CAST"):]
 PIECES["foldpred"] = _long(_surr("folds"), {"setting_1": "p1", "setting_2": "p2", "setting_3": "p3", "setting_4": "layer2", "setting_5": "p1"}, "fold,label")
 O["cv_rank"] = sql(f"""SELECT *, rank() OVER (ORDER BY mean_score DESC)::INTEGER AS rank FROM (SELECT setting, round(avg(f1),6) AS mean_score, round(stddev_pop(f1),6) AS std_score
@@ -521,7 +527,7 @@ O["trusted_cap"] = sql("SELECT url_id, layer1_verdict, layer2_score, score, verd
 O["escalation"] = sql("SELECT url_id, layer2_score, score, verdict, explanation FROM scored WHERE escalated")
 O["agreement_boost"] = sql("SELECT url_id, layer2_score, score, verdict FROM scored WHERE susp AND NOT escalated")
 O["severity"] = sql(f"SELECT url_id, {_severity('p1')} AS severity_p1, {_severity('layer2')} AS severity FROM surr")
-O["severity_scale"] = sql("SELECT url_id, round(p1*10,1) AS cvss FROM surr")
+O["severity_scale"] = sql(f"SELECT url_id, {rnd('p1*10', 1)} AS cvss FROM surr")
 O["score_explain"] = sql("SELECT url_id, explanation FROM scored")
 
 
@@ -590,12 +596,13 @@ O["collision_summary"] = sql(f"""SELECT t AS total_test_rows, f AS collision_fre
 O["holdout_results"] = sql("SELECT * FROM holdout")
 O["holdout_summary"] = sql(f"SELECT * FROM ({_hold_rows('SELECT * FROM holdout')})")
 O["adversarial_results"] = sql("SELECT * FROM advers")
-_adv = ("count(*) AS n, round(avg(score_drop),4) AS avg_score_drop, round(avg(detected_after::INT),4) AS detection_rate, round(avg(evaded::INT),4) AS evasion_rate, "
+_adv = (f"count(*) AS n, {rnd('avg(score_drop)', 4)} AS avg_score_drop,"
+        " round(avg(detected_after::INT),4) AS detection_rate, round(avg(evaded::INT),4) AS evasion_rate, "
         "round(1-avg(evaded::INT),4) AS retention FROM advers")
 O["adversarial_summary"] = sql(f"SELECT mutation, {_adv} GROUP BY mutation UNION ALL SELECT 'all', {_adv}")
 _out = "CASE WHEN got=expected THEN 'pass' WHEN expected='LEGIT' THEN 'false_positive' ELSE 'false_negative' END"
 O["bias_stress"] = sql(f"""SELECT url_id, expected, got, {_out} AS outcome, score, qty_slash, has_https, url_length FROM (
-  SELECT *, CASE WHEN layer2>=0.5 THEN 'PHISHING' ELSE 'LEGIT' END AS got, round(layer2,4) AS score FROM ({_surr('(' + _features('biassrc') + ')')}))""")
+  SELECT *, CASE WHEN layer2>=0.5 THEN 'PHISHING' ELSE 'LEGIT' END AS got, {rnd("layer2", 4)} AS score FROM ({_surr('(' + _features('biassrc') + ')')}))""")
 O["bias_summary"] = sql("""SELECT count(*) AS n, count_if((layer2>=0.5)=(label=1))::BIGINT AS passed, count_if(label=0 AND layer2>=0.5)::BIGINT AS false_positives,
   count_if(label=1 AND layer2<0.5)::BIGINT AS false_negatives FROM surr""")
 O["specimen_scores"] = sql("SELECT category, verdict, count(*) AS n, round(avg(score),4) AS avg_score FROM specscored GROUP BY category, verdict")
@@ -607,8 +614,8 @@ O["mutations_all"] = sql(f"SELECT url_id, mutation, mutated_url FROM ({_unpivot_
 
 
 def _describe(src: str, c: str, extra: str = "") -> str:
-    return f"""SELECT label, count({c}) AS n, round(avg({c}),2) AS mean, round(stddev_samp({c}),2) AS std, min({c})::BIGINT AS min_value,
-  round(quantile_cont({c},0.25)::DOUBLE,2) AS q25, round(quantile_cont({c},0.5)::DOUBLE,2) AS q50, round(quantile_cont({c},0.75)::DOUBLE,2) AS q75, max({c})::BIGINT AS max_value{extra} FROM {src} GROUP BY label"""
+    return f"""SELECT label, count({c}) AS n, {rnd(f"avg({c})", 2)} AS mean, {rnd(f"stddev_samp({c})", 2)} AS std, min({c})::BIGINT AS min_value,
+  {rnd(f"quantile_cont({c},0.25)::DOUBLE", 2)} AS q25, {rnd(f"quantile_cont({c},0.5)::DOUBLE", 2)} AS q50, {rnd(f"quantile_cont({c},0.75)::DOUBLE", 2)} AS q75, max({c})::BIGINT AS max_value{extra} FROM {src} GROUP BY label"""
 
 
 PIECES["sized"] = "SELECT label, url_id, url, length(url) AS url_length FROM corpus"
