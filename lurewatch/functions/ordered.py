@@ -2,29 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.feature import QuantileDiscretizer
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from lurewatch.workspace import materialize
+
+
+MAX_STRATA = 1_000
 
 
-def smallest_hash_threshold(df: DataFrame, strata: str, key_hash: str, quotas: DataFrame) -> DataFrame:
-    """Hash of the row at rank ``quota`` in its stratum.
+def hash_ranks(df: DataFrame, strata: str, key_hash: Column, ranks: Callable[[dict], dict]) -> dict:
+    """Fit step: the hash found at given ranks of each stratum, as ``{stratum: [hash, ...]}``.
 
-    ``quotas`` has the columns strata, part, quota and may hold several parts per stratum; the result
-    has strata, part, threshold. A histogram over the first four hex digits finds the one cell in
-    which each rank falls; only those cells, 1/65536 of the rows each, are ranked. The other rows are
-    not shuffled, however few strata there are.
+    ``ranks`` maps the stratum sizes to the wanted ranks, ``{stratum: [rank, ...]}``. Two passes read
+    the stratum and the key only. The first counts rows per cell, a cell being the first four hex
+    digits; the cell in which a rank falls is then known, and the second pass orders just the rows of
+    those cells, 1/65536 of the table each. Rows are never sorted or moved as a whole.
     """
-    keyed = df.select(strata, key_hash, F.substring(key_hash, 1, 4).alias("_cell"))
-    cells = keyed.groupBy(strata, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    keyed = df.select(strata, key_hash.alias("_hash"), F.substring(key_hash, 1, 4).alias("_cell"))
+    cells = materialize(keyed.groupBy(strata, "_cell").agg(F.count(F.lit(1)).alias("_n")), "cells")
+    sizes = {r[strata]: r["n"] for r in cells.groupBy(strata).agg(F.sum("_n").alias("n")).limit(MAX_STRATA + 1).collect()}
+    if len(sizes) > MAX_STRATA:
+        raise ValueError(f"more than {MAX_STRATA} strata in {strata}")
+    wanted = [(s, i, r) for s, rs in ranks(sizes).items() for i, r in enumerate(rs) if r > 0]
+    if not wanted:
+        return {s: [] for s in sizes}
+    wanted_df = df.sparkSession.createDataFrame(wanted, f"{strata} {dict(df.dtypes)[strata]}, _part int, _rank bigint")
     upto = W.partitionBy(strata).orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)
-    edge = (cells.withColumn("_upto", F.sum("_n").over(upto)).join(quotas, strata)
-            .where((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota")))
-            .select(strata, "part", "_cell", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_need")))
-    in_cell = W.partitionBy(strata, "part").orderBy(key_hash)
-    return (keyed.join(F.broadcast(edge), [strata, "_cell"])  # one row per stratum and part
-            .withColumn("_rank", F.row_number().over(in_cell))
-            .where(F.col("_rank") == F.col("_need"))
-            .select(strata, "part", F.col(key_hash).alias("threshold")))
+    edge = (cells.withColumn("_upto", F.sum("_n").over(upto)).join(F.broadcast(wanted_df), strata)
+            .where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank")))
+            .select(strata, "_part", "_cell", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_need")))
+    found = (keyed.join(F.broadcast(edge), [strata, "_cell"])  # one row per wanted rank
+             .withColumn("_r", F.row_number().over(W.partitionBy(strata, "_part").orderBy("_hash")))
+             .where("_r = _need").select(strata, "_hash").collect())
+    out = {s: [] for s in sizes}
+    for row in found:
+        out[row[strata]].append(row["_hash"])
+    return {s: sorted(hashes) for s, hashes in out.items()}
 
 
 def running_totals(df: DataFrame, by: list[str], order: str, measures: list[str],

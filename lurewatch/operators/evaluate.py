@@ -40,15 +40,19 @@ def _share(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit(0.0)).otherwise(part / whole)
 
 
-def metrics(pred: DataFrame, by: list[str], digits: int = 4) -> DataFrame:
-    """accuracy, precision, recall, F1 and MCC per group from one pass of conditional counts."""
+def _metrics_of(counts: DataFrame, by: list[str], digits: int) -> DataFrame:
     tn, fp, fn, tp = (F.col(c).cast("double") for c in ("tn", "fp", "fn", "tp"))
     values = {
         "accuracy": _share(tp + tn, tp + tn + fp + fn), "precision": _share(tp, tp + fp),
         "recall": _share(tp, tp + fn), "f1": _share(2 * tp, 2 * tp + fp + fn),
         "mcc": _share(tp * tn - fp * fn, F.sqrt(tp + fp) * F.sqrt(tp + fn) * F.sqrt(tn + fp) * F.sqrt(tn + fn)),
     }
-    return confusion(pred, by).select(*by, *[F.round(v, digits).alias(m) for m, v in values.items()])
+    return counts.select(*by, *[F.round(v, digits).alias(m) for m, v in values.items()])
+
+
+def metrics(pred: DataFrame, by: list[str], digits: int = 4) -> DataFrame:
+    """accuracy, precision, recall, F1 and MCC per group from one pass of conditional counts."""
+    return _metrics_of(confusion(pred, by), by, digits)
 
 
 def _score_table(pred: DataFrame, by: list[str]) -> DataFrame:
@@ -58,14 +62,18 @@ def _score_table(pred: DataFrame, by: list[str]) -> DataFrame:
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")), "scores")
 
 
-def roc_auc(pred: DataFrame, by: list[str], digits: int = 4) -> DataFrame:
-    """Exact area under the ROC curve; tied scores count half."""
-    ranked = running_totals(_score_table(pred, by), by, "proba", ["pos"])
+def _auc_of(table: DataFrame, by: list[str], digits: int) -> DataFrame:
+    ranked = running_totals(table, by, "proba", ["pos"])
     wins = F.sum(F.col("neg") * (F.col("before_pos") + F.col("pos") / F.lit(2.0)))
     return ranked.groupBy(*by).agg(
         F.round(_share(wins, F.sum("pos").cast("double") * F.sum("neg")), digits).alias("roc_auc"))
 
 
+def roc_auc(pred: DataFrame, by: list[str], digits: int = 4) -> DataFrame:
+    """Exact area under the ROC curve; tied scores count half."""
+    return _auc_of(_score_table(pred, by), by, digits)
+
+
 def roc_curve(pred: DataFrame, by: list[str], max_fpr: float | None = None) -> DataFrame:
     """(fpr, tpr) at every distinct threshold; ``max_fpr`` zooms into the left end."""
     ranked = running_totals(_score_table(pred, by), by, "proba", ["pos", "neg"])
@@ -78,7 +86,13 @@ def roc_curve(pred: DataFrame, by: list[str], max_fpr: float | None = None) -> D
 
 
 def full_metrics(pred: DataFrame, by: list[str]) -> DataFrame:
-    return metrics(pred, by).join(roc_auc(pred, by), by)
+    """All metrics and the AUC per group (``pred`` being ``proba`` >= 0.5); predictions are computed once."""
+    table = _score_table(pred, by)
+    high = F.col("proba") >= DECISION
+    total = lambda c, cond: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0))
+    counts = table.groupBy(*by).agg(total("neg", ~high).alias("tn"), total("neg", high).alias("fp"),
+                                    total("pos", ~high).alias("fn"), total("pos", high).alias("tp"))
+    return _metrics_of(counts, by, 4).join(_auc_of(table, by, 4), by)
 
 
 def model_comparison(pred: DataFrame, by: str = "model") -> DataFrame:
@@ -300,8 +314,8 @@ def specimen_scores(scored: DataFrame, category: str = "category") -> DataFrame:
 
 def ensemble_weights(model_metrics: DataFrame) -> DataFrame:
     """Each model's share of the summed F1 (a metrics table with one row per model)."""
-    total = model_metrics.agg(F.sum("f1"))
-    return model_metrics.select("model", "f1", F.round(F.col("f1") / total.scalar(), 4).alias("weight"))
+    total = F.sum("f1").over(W.partitionBy(F.lit(0)))  # one row per model
+    return model_metrics.select("model", "f1", F.round(F.col("f1") / total, 4).alias("weight"))
 
 
 def cv_rank(fold_scores: DataFrame, params: list[str], top: int | None = 10) -> DataFrame:

@@ -17,7 +17,7 @@ from lurewatch.fixed.rules import BOOST_GRID, BOOST_PARAMS, FOREST_GRID, FOREST_
 from lurewatch.fixed.words import FEATURES
 from lurewatch.functions.keyed import keyed_uniform
 from lurewatch.operators import evaluate, hybrid
-from lurewatch.operators.prep import stratified_folds
+from lurewatch.operators.prep import over_groups, stratified_folds
 
 
 def assembler() -> VectorAssembler:
@@ -27,7 +27,7 @@ def assembler() -> VectorAssembler:
 def class_weights(df: DataFrame) -> DataFrame:
     """n / (2 n_c) per class; one row per class."""
     counts = df.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("label", "n", (counts.agg(F.sum("n")).scalar() / (2.0 * F.col("n"))).alias("weight"))
+    return counts.select("label", "n", (F.sum("n").over(over_groups()) / (2.0 * F.col("n"))).alias("weight"))
 
 
 def with_class_weight(df: DataFrame) -> DataFrame:

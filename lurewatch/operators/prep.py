@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lurewatch.fixed.rules import SEED
 from lurewatch.functions.keyed import keyed_hash
-from lurewatch.functions.ordered import smallest_hash_threshold
+from lurewatch.functions.ordered import hash_ranks
+
+def over_groups():
+    """All rows of an already grouped table, which has one row per class, split or model."""
+    return W.partitionBy(F.lit(0))
 
 
 def dedupe_first(df: DataFrame, key: str = "url", order: str = "url_id") -> DataFrame:
@@ -27,68 +34,76 @@ def flip_label(df: DataFrame, source: str = "source_label", target: str = "label
 
 def class_distribution(df: DataFrame) -> DataFrame:
     counts = df.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("label", "n",
-                         F.round(F.col("n") * 100.0 / counts.agg(F.sum("n")).scalar(), 2).alias("pct"))
-
-
-def held_out_quotas(df: DataFrame, fraction: float, label: str = "label") -> DataFrame:
-    """Exact held-out size per class: ``ceil(fraction * n)`` rows in all, the rest of each class being
-    its largest-remainder share of the kept rows. One row per class."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    every = W.partitionBy(F.lit(0))  # over one row per class
-    sized = (counts.withColumn("_n", F.sum("_c").over(every))
-             .withColumn("_keep", F.col("_n") - F.ceil(F.col("_n") * F.lit(fraction)))
-             .withColumn("_share", F.col("_c") * F.col("_keep") / F.col("_n"))
-             .withColumn("_base", F.floor("_share")))
-    ranked = (sized.withColumn("_open", F.col("_keep") - F.sum("_base").over(every))
-              .withColumn("_r", F.row_number().over(
-                  every.orderBy((F.col("_share") - F.col("_base")).desc(), label))))
-    kept = F.col("_base") + (F.col("_r") <= F.col("_open")).cast("long")
-    return ranked.select(label, F.lit(0).alias("part"), (F.col("_c") - kept).alias("quota"))
-
-
-def stratified_split(df: DataFrame, fraction: float = 0.2, salt: str = "split", seed: int = SEED,
-                     key: str = "url_id", label: str = "label", names: tuple[str, str] = ("train", "test"),
-                     ) -> DataFrame:
-    """Append ``split``: an exact, repeatable, stratified split by seeded hash order of the row key.
-
-    Only class counts and one hash threshold per class are computed; the rows themselves are not
-    moved. ``key`` must be unique.
+    return counts.select("label", "n", F.round(F.col("n") * 100.0 / F.sum("n").over(over_groups()), 2).alias("pct"))
+
+
+def _held_out_sizes(sizes: dict, fraction: float) -> dict:
+    """Rows to hold out per class: ``ceil(fraction * n)`` in all; the kept rows are shared out among the
+    classes in proportion, left-over rows going to the largest remainders."""
+    n = sum(sizes.values())
+    keep = n - math.ceil(n * fraction)
+    share = {c: size * keep / n for c, size in sizes.items()}
+    kept = {c: math.floor(x) for c, x in share.items()}
+    by_remainder = sorted(sizes, key=lambda c: (kept[c] - share[c], c))
+    for c in by_remainder[:keep - sum(kept.values())]:
+        kept[c] += 1
+    return {c: [sizes[c] - kept[c]] for c in sizes}
+
+
+def _passed(label: str, key_hash: Column, limits: dict) -> Column:
+    """How many of its class's limits a row's hash lies above."""
+    if not limits:
+        return F.lit(0)
+    count = F
+    for value, hashes in limits.items():
+        above = reduce(lambda a, b: a + b, [(key_hash > h).cast("int") for h in hashes], F.lit(0))
+        count = count.when(F.col(label).eqNullSafe(F.lit(value)), above)
+    return count.otherwise(0)
+
+
+def held_out(df: DataFrame, fraction: float = 0.2, salt: str = "split", seed: int = SEED, key: str = "url_id",
+             label: str = "label") -> Column:
+    """Fit an exact, repeatable, stratified cut by seeded hash order of the unique row ``key``.
+
+    Returns a condition on the row alone, so applying the cut needs neither a join nor a shuffle.
+    Fitting reads ``df`` twice: pass a materialised table.
     """
-    hashed = df.withColumn("_hash", keyed_hash(F.col(key), salt, seed))
-    limits = smallest_hash_threshold(hashed, label, "_hash", held_out_quotas(df, fraction, label))
-    joined = hashed.join(F.broadcast(limits), label, "left")  # one row per class
-    held_out = F.coalesce(F.col("_hash") <= F.col("threshold"), F.lit(False))
-    return joined.select(*df.columns, F.when(held_out, names[1]).otherwise(names[0]).alias("split"))
+    key_hash = keyed_hash(F.col(key), salt, seed)
+    limits = hash_ranks(df, label, key_hash, lambda sizes: _held_out_sizes(sizes, fraction))
+    inside = [F.col(label).eqNullSafe(F.lit(c)) & (key_hash <= hashes[0]) for c, hashes in limits.items() if hashes]
+    return reduce(lambda a, b: a | b, inside, F.lit(False))
 
 
-def stratified_folds(df: DataFrame, k: int = 5, seed: int = SEED, key: str = "url_id",
-                     label: str = "label") -> DataFrame:
-    """Append ``fold`` (0..k-1): exact folds whose class sizes differ by at most one row."""
-    hashed = df.withColumn("_hash", keyed_hash(F.col(key), "fold", seed))
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    cuts = (counts.withColumn("part", F.explode(F.sequence(F.lit(1), F.lit(k - 1))))
-            .select(label, "part", F.floor(F.col("part") * F.col("_c") / k).alias("quota")))
-    limits = (smallest_hash_threshold(hashed, label, "_hash", cuts)
-              .groupBy(label).agg(F.collect_list("threshold").alias("_limits")))  # k - 1 values
-    joined = hashed.join(F.broadcast(limits), label, "left")  # one row per class
-    passed = F.filter(F.coalesce("_limits", F.array().cast("array<string>")), lambda t: t < F.col("_hash"))
-    return joined.select(*df.columns, F.size(passed).alias("fold"))
+def stratified_split(df: DataFrame, fraction: float = 0.2, seed: int = SEED) -> DataFrame:
+    """Append ``split`` with the values train and test."""
+    return df.withColumn("split", F.when(held_out(df, fraction, "split", seed), "test").otherwise("train"))
 
 
 def three_way_split(df: DataFrame, fraction: float = 0.2, seed: int = SEED) -> DataFrame:
     """train / validation / test: a second stratified cut inside the training pool."""
-    first = stratified_split(df, fraction, "split", seed)
-    pool = stratified_split(first.where("split = 'train'").drop("split"), fraction, "validation", seed,
-                            names=("train", "validation"))
-    return pool.unionByName(first.where("split = 'test'"))
+    test = held_out(df, fraction, "split", seed)
+    validation = held_out(df.where(~test), fraction, "validation", seed)
+    return df.withColumn("split", F.when(test, "test").when(validation, "validation").otherwise("train"))
+
+
+def stratified_folds(df: DataFrame, k: int = 5, seed: int = SEED, key: str = "url_id", label: str = "label") -> DataFrame:
+    """Append ``fold`` (0..k-1): exact folds whose class sizes differ by at most one row."""
+    key_hash = keyed_hash(F.col(key), "fold", seed)
+    limits = hash_ranks(df, label, key_hash, lambda sizes: {
+        c: [j * n // k for j in range(1, k)] for c, n in sizes.items()})
+    # a class with fewer rows than folds starts with empty folds
+    missing = {c: k - 1 - len(h) for c, h in limits.items()}
+    fold = _passed(label, key_hash, limits)
+    for c, m in missing.items():
+        fold = F.when(F.col(label).eqNullSafe(F.lit(c)), fold + m).otherwise(fold) if m else fold
+    return df.withColumn("fold", fold)
 
 
 def split_sizes(split: DataFrame) -> DataFrame:
     counts = split.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1)
                                         .alias("phishing"))
     return counts.select("split", "n", "phishing",
-                         F.round(F.col("n") * 100.0 / counts.agg(F.sum("n")).scalar(), 1).alias("pct"))
+                         F.round(F.col("n") * 100.0 / F.sum("n").over(over_groups()), 1).alias("pct"))
 
 
 def sample_per_class(df: DataFrame, n: int, seed: int = SEED, key: str = "url_id") -> DataFrame:

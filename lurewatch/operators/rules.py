@@ -65,20 +65,12 @@ def rule_explanation(url: str = "url") -> Column:
         *lines)
 
 
-def _with_domain(counts: DataFrame, column: str, values: list[str]) -> DataFrame:
-    """Left-join counts to a fixed domain so that values without rows show up as zero."""
-    spark = counts.sparkSession
-    domain = spark.createDataFrame([(v,) for v in values], f"{column} string")
-    return domain.join(counts, column, "left").fillna(0, subset=["n"])
-
-
 def coverage(hits: DataFrame) -> DataFrame:
-    """Rows and percentage per verdict; verdicts without rows are listed with 0."""
-    counts = hits.groupBy("layer1_verdict").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return (_with_domain(counts, "layer1_verdict", LAYER1_VERDICTS)
-            .select(F.col("layer1_verdict").alias("verdict"), "n",
-                    F.round(F.col("n") * 100.0 / total.scalar(), 2).alias("pct")))
+    """Rows and percentage per verdict; verdicts without rows are listed with 0. One aggregation row."""
+    one = hits.agg(F.count(F.lit(1)).alias("_n"),
+                   *[F.count_if(F.col("layer1_verdict") == v).alias(v) for v in LAYER1_VERDICTS])
+    return one.unpivot("_n", LAYER1_VERDICTS, "verdict", "n").select(
+        "verdict", "n", F.round(F.col("n") * 100.0 / F.col("_n"), 2).alias("pct"))
 
 
 def crosstab(hits: DataFrame) -> DataFrame:
@@ -117,9 +109,10 @@ def hit_counts(hits: DataFrame) -> DataFrame:
 
 
 def technique_counts(hits: DataFrame) -> DataFrame:
-    """Rows per technique id, most frequent first."""
-    total = hits.agg(F.count(F.lit(1)))
-    return (hits.select(F.explode("techniques").alias("technique")).groupBy("technique")
-            .agg(F.count(F.lit(1)).alias("hits"))
-            .withColumn("pct", F.round(F.col("hits") * 100.0 / total.scalar(), 3))
+    """Rows per technique id, most frequent first. The registry names all techniques there can be."""
+    known = sorted({t for _, _, techniques, _ in RULES for t in techniques})
+    one = hits.agg(F.count(F.lit(1)).alias("_n"),
+                   *[F.count_if(F.array_contains("techniques", t)).alias(t) for t in known])
+    return (one.unpivot("_n", [f"`{t}`" for t in known], "technique", "hits").where("hits > 0")
+            .select("technique", "hits", F.round(F.col("hits") * 100.0 / F.col("_n"), 3).alias("pct"))
             .orderBy(F.desc("hits"), "technique"))

@@ -557,7 +557,7 @@ O["top_signals"] = sql("SELECT url_id, rank, feature, value, plain, jargon, tech
 _tech = _values([(k, *v) for k, v in texts.TECHNIQUES.items()], "technique,name,plain,jargon")
 O["technique_info"] = sql(f"""SELECT r.url_id, r.rank::INTEGER AS rank, r.technique, coalesce(v.name, r.technique) AS name, coalesce(v.plain,'') AS plain, coalesce(v.jargon,'') AS jargon
   FROM (SELECT url_id, unnest(t) AS technique, generate_subscripts(t,1) AS rank FROM (SELECT url_id, {_final} AS t FROM inferred)) r LEFT JOIN {_tech} ON v.technique=r.technique""")
-O["analyze_batch"] = sql(f"SELECT url_id, verdict, score, 24::INTEGER AS n_features, round({'+'.join(words.FEATURES)},3) AS checksum, url_entropy FROM scored")
+O["analyze_batch"] = sql(f"SELECT url_id, verdict, score, 24::INTEGER AS n_features, round({'+'.join(words.FEATURES)},6) AS checksum, url_entropy FROM scored")
 O["features_long"] = sql(" UNION ALL ".join(f"SELECT url_id, '{g}' AS feature_group, '{f}' AS feature, {f}::DOUBLE AS value FROM feat" for g, names in words.FEATURE_GROUPS.items() for f in names))
 O["verdict_summary"] = sql("SELECT url_id, verdict, CASE verdict " + " ".join(f"WHEN '{k}' THEN {q(v)}" for k, v in texts.VERDICT_SUMMARIES.items()) + " END AS summary FROM scored")
 

@@ -20,7 +20,7 @@ from lurewatch.operators import (
     rules as R)
 from lurewatch.sources import reports, specimens as S, urls as U
 from lurewatch.streaming import jobs as J
-from lurewatch.workspace import materialize, shared_path
+from lurewatch.workspace import materialize, shared_path, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -34,7 +34,7 @@ def query(fn: Query) -> Query:
 # ---- shared inputs --------------------------------------------------------------------------
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    return spread(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url"), "page_id")
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,8 +66,13 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
     return H.hybrid_score(with_surrogates(hits(spark, sf)))
 
 
+def deduped(spark: SparkSession, sf: str) -> DataFrame:
+    """Deduped URLs in the shared folder: fitting a split reads them more than once."""
+    return materialize(P.dedupe_first(corpus(spark, sf)), "deduped")
+
+
 def split(spark: SparkSession, sf: str) -> DataFrame:
-    return P.stratified_split(P.dedupe_first(corpus(spark, sf)))
+    return P.stratified_split(deduped(spark, sf))
 
 
 def split_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,7 +84,7 @@ MODELS = {"logistic": "p3", "boosted": "p1", "forest": "p2", "ensemble": "layer2
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """url_id, split, label, model, proba, pred for four surrogate models over a three-way split."""
-    rows = P.three_way_split(P.dedupe_first(corpus(spark, sf)))
+    rows = P.three_way_split(deduped(spark, sf))
     return E.predictions_long(with_surrogates(rows), MODELS, ["url_id", "split", "label"])
 
 
@@ -177,17 +182,17 @@ def stratified_split(spark, sf):
 
 @query
 def split_three_way(spark, sf):
-    return P.three_way_split(P.dedupe_first(corpus(spark, sf))).select("url_id", "label", "split")
+    return P.three_way_split(deduped(spark, sf)).select("url_id", "label", "split")
 
 
 @query
 def split_sizes(spark, sf):
-    return P.split_sizes(P.three_way_split(P.dedupe_first(corpus(spark, sf))))
+    return P.split_sizes(P.three_way_split(deduped(spark, sf)))
 
 
 @query
 def stratified_folds(spark, sf):
-    return P.stratified_folds(P.dedupe_first(corpus(spark, sf)), 5).select("url_id", "label", "fold")
+    return P.stratified_folds(deduped(spark, sf), 5).select("url_id", "label", "fold")
 
 
 def _augmented(spark, sf):
@@ -368,7 +373,7 @@ def ensemble_score(spark, sf):
 @query
 def cv_rank(spark, sf):
     """Fold scores of surrogate settings over exact folds, ranked."""
-    rows = with_surrogates(P.stratified_folds(P.dedupe_first(corpus(spark, sf)), 5))
+    rows = with_surrogates(P.stratified_folds(deduped(spark, sf), 5))
     long = E.predictions_long(rows, {"setting_1": "p1", "setting_2": "p2", "setting_3": "p3", "setting_4": "layer2",
                                      "setting_5": "p1"}, ["fold", "label"])
     folds = E.metrics(long, ["model", "fold"], 12).select(F.col("model").alias("setting"), "fold",
@@ -546,7 +551,7 @@ def technique_info(spark, sf):
 def analyze_batch(spark, sf):
     rows = scored(spark, sf).select("url_id", "verdict", "score", H.feature_map().alias("m"))
     return rows.select("url_id", "verdict", "score", F.size("m").alias("n_features"),
-                       F.round(F.aggregate(F.map_values("m"), F.lit(0.0), lambda a, x: a + x), 3).alias("checksum"),
+                       F.round(F.aggregate(F.map_values("m"), F.lit(0.0), lambda a, x: a + x), 6).alias("checksum"),
                        F.col("m")["url_entropy"].alias("url_entropy"))
 
 

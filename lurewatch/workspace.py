@@ -42,3 +42,10 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     A larger table is returned without a hint, so the join shuffles instead.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Repartition only an input with fewer partitions than cores, such as one small file that fans out into
+    many rows. A large table already has more partitions and is returned as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -192,7 +192,7 @@ def test_auc_against_brute_force_with_ties_and_saturation(spark):
 def test_split_is_exact_and_hot_urls_are_kept_whole(spark):
     rows = [(i, "http://hot.com/" if i % 3 == 0 else f"http://s{i}.com/", int(i % 5 == 0)) for i in range(3000)]
     df = spark.createDataFrame(rows, "url_id bigint, url string, label int")
-    kept = P.dedupe_first(df)
+    kept = workspace.materialize(P.dedupe_first(df), "kept")
     assert kept.count() == 2001 and kept.where("url = 'http://hot.com/'").first().url_id == 0
     sizes = {(r.split, r.label): r.n for r in P.stratified_split(kept).groupBy("split", "label").agg(
         F.count(F.lit(1)).alias("n")).collect()}
