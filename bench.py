@@ -26,6 +26,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("bench")
              .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false")
              .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "12g")
              .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="lurewatch-bench-")).getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

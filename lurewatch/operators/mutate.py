@@ -21,7 +21,7 @@ def _diluted_path(path: Column, key: Column, salt: str, seed: int) -> Column:
     first = F.floor(draw / (n - 1))
     second = (first + 1 + draw % (n - 1)) % n
     at = lambda i: F.element_at(F.array(*[F.lit(p) for p in BENIGN_PATHS]), (i + 1).cast("int"))
-    return F.concat(F.rtrim(path, F.lit("/")), F.lit("/"), at(first), F.lit("/"), at(second))
+    return F.concat(F.regexp_replace(path, "/+$", ""), F.lit("/"), at(first), F.lit("/"), at(second))
 
 
 def _plain_path(path: Column) -> Column:

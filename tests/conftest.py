@@ -13,6 +13,7 @@ def build_session() -> SparkSession:
              .config("spark.sql.shuffle.partitions", "8")
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.ui.enabled", "false")
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false")
              .config("spark.driver.memory", "8g")
              .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="lurewatch-test-"))
              .getOrCreate())
