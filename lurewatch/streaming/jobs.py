@@ -68,9 +68,12 @@ def run_recent(stream: DataFrame, path: str, checkpoint: str, n: int = 5, ts: st
 
 
 def read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A folder (or one file) of parquet as a stream under a declared schema."""
-    folder, _, name = path.rstrip("/").rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    """A parquet table, be it a folder or one file, as a stream under a declared schema.
+
+    A streaming path has to be a folder unless it is a pattern, hence the one-letter pattern at its end.
+    """
+    path = path.rstrip("/")
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def read_feed_stream(spark: SparkSession, path: str) -> DataFrame:

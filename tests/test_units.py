@@ -276,3 +276,16 @@ def test_late_rows_are_dropped(spark, tmp_path):
     run()
     got = {(str(r.window_start), r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("2024-01-01 00:00:00", 1), ("2024-01-01 03:00:00", 1)}
+
+
+def test_stream_reads_a_file_and_a_folder(spark, tmp_path):
+    import shutil
+    spark.range(7).repartition(2).write.parquet(str(tmp_path / "t.parquet"))
+    one = tmp_path / "one"
+    spark.range(5).coalesce(1).write.parquet(str(one))
+    single = tmp_path / "u.parquet"
+    shutil.copy(next(one.glob("*.parquet")), single)
+    for path, n in ((tmp_path / "t.parquet", 7), (single, 5)):
+        out, log = tmp_path / f"o{n}", tmp_path / f"l{n}"
+        J.run_available(J.read_stream(spark, str(path), "id bigint"), str(out), str(log))
+        assert spark.read.parquet(str(out)).count() == n
