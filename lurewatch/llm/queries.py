@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lurewatch.llm import lines, quality
+from lurewatch.llm import lines, quality, simhash
 from lurewatch.llm.common import string_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,3 +34,9 @@ def op6_quality_ledger(spark, sf):
 def op7_line_dedup(spark, sf):
     rows = lines.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"), min_docs=10)
     return rows.select("_row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op8_simhash(spark, sf):
+    rows = simhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"), max_bits=2)
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
