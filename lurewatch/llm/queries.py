@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lurewatch.llm import lines, quality, simhash
+from lurewatch.llm import lines, mixing, quality, simhash
 from lurewatch.llm.common import string_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,3 +40,9 @@ def op7_line_dedup(spark, sf):
 def op8_simhash(spark, sf):
     rows = simhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"), max_bits=2)
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op5_source_mix(spark, sf):
+    mix = mixing.Mix(table(spark, sf, "documents"), weights=(5, 2, 1), share=1.5, max_repeat=2)
+    return mix.taken().select("doc_id", "size", "source_size", "target", "taken", "source")
