@@ -194,3 +194,14 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, keep: str = "none", doc_id:
     joined = keyed(docs, doc_id, text).join(bitmaps, ["_doc", "_txt"], "left")
     apply = F.pandas_udf(_apply, "n_lines long, n_dropped long, kept string")
     return joined.select("_row", apply("_text", "_keep").alias("_a")).select("_row", "_a.*")
+
+
+def cleaned(docs: DataFrame, min_docs: int = 10, keep: str = "none", doc_id: str = "doc_id", text: str = "text",
+            length: str = "n_chars") -> DataFrame:
+    """The documents, same columns, with the lines that stay as text and ``length``, if there, brought up to date.
+    A null text stays null."""
+    rows = dedup_lines(docs, min_docs, keep, doc_id, text)
+    new = {text: F.when(F.col("_row")[text].isNotNull(), F.col("kept"))}
+    if length in docs.columns:
+        new[length] = F.when(F.col("n_dropped") > 0, F.length("kept").cast(docs.schema[length].dataType)).otherwise(F.col("_row")[length])
+    return rows.select(*[(new[c] if c in new else F.col("_row")[c]).alias(c) for c in docs.columns])

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lurewatch.llm.common import barrier, materialize, spaced, words_of
+from lurewatch.llm.common import barrier, ids_of, materialize, spaced, words_of
 
 BLOCK = 64
 BUCKETS = 1024
@@ -48,10 +48,10 @@ def permuted(x: Column, n: Column, *key: Column) -> Column:
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, source, size: words per document."""
-    out = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"),
-                      spaced(F.col(f"`{text}`")).alias("_s"))
-    return out.select("doc_id", "source", F.size(words_of(F.col("_s"))).cast("long").alias("size"))
+    """doc_id, txt (a hash of the text), source, size: words per document."""
+    out = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(f"`{text}`").alias("txt"),
+                      F.col(f"`{source}`").alias("source"), spaced(F.col(f"`{text}`")).alias("_s"))
+    return out.select("doc_id", "txt", "source", F.size(words_of(F.col("_s"))).cast("long").alias("size"))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5,
@@ -83,18 +83,18 @@ def placed(sizes: DataFrame) -> DataFrame:
     upto = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select("source", "_bucket", F.coalesce(F.sum("_total").over(upto), F.lit(0)).alias("_offset"))
     offsets = materialize(offsets, "mix-offsets").toDF("_source", "_b", "_offset")
-    inside = W.partitionBy("source", "_bucket").orderBy("_h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "_bucket").orderBy("_h", "doc_id", "txt", "size").rowsBetween(W.unboundedPreceding, -1)
     df = df.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = df.join(offsets, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b")))
-    return joined.select("doc_id", "source", "size", (F.col("_offset") + F.col("_before")).alias("start"))
+    return joined.select("doc_id", "txt", "source", "size", (F.col("_offset") + F.col("_before")).alias("start"))
 
 
 def segments(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """source, start, block_no, low, high: the words of a document in each block, low and high counted in the block."""
+    """doc_id, txt, source, start, block_no, low, high: a document's words in each block, low and high counted in the block."""
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     df = docs.where("size > 0").withColumn("block_no", F.explode(F.sequence(first, last)))
     base = F.col("block_no") * block
-    return df.select("source", "start", "block_no",
+    return df.select("doc_id", "txt", "source", "start", "block_no",
                      F.greatest(F.col("start") - base, F.lit(0)).cast("long").alias("low"),
                      F.least(F.col("start") + F.col("size") - base, F.lit(block)).cast("long").alias("high"))
 
@@ -132,11 +132,14 @@ def shard_counts(slot_table: DataFrame) -> DataFrame:
 
 
 class Mix:
-    """The tables of one mix: ``docs`` (with source_size, target and start), ``slots`` and ``pieces``."""
+    """The tables of one mix: ``sources``, ``docs`` (placed in their source), ``slots`` and ``pieces``.
 
-    def __init__(self, docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_repeat: int = 2,
+    ``sizes`` is a table as ``sized`` gives it.
+    """
+
+    def __init__(self, sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_repeat: int = 2,
                  block: int = BLOCK, shards: int = SHARDS):
-        sizes = materialize(sized(docs), "mix-sizes")
+        sizes = materialize(sizes, "mix-sizes")
         self.sources = materialize(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")),
                                            weights, share, max_repeat), "mix-sources")
         self.docs = materialize(placed(sizes), "mix-documents")
@@ -145,9 +148,10 @@ class Mix:
         picks = self.slots.select(F.col("source").alias("_source"), F.col("block_no").alias("_no"), "shard", "slot", "pass_no", "words")
         joined = cut.join(picks, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block_no") == F.col("_no")))
         base = F.col("block_no") * block - F.col("start")
-        #: source, start (of the document), shard, slot, pass_no, from_word and to_word in the document.
+        #: Which words of which document a slot holds: doc_id, txt, source, start (of the document in its source),
+        #: shard, slot, pass_no, from_word, to_word.
         self.pieces = joined.where("low < words").select(
-            "source", "start", "shard", "slot", "pass_no", (base + F.col("low")).alias("from_word"),
+            "doc_id", "txt", "source", "start", "shard", "slot", "pass_no", (base + F.col("low")).alias("from_word"),
             (base + F.least("high", "words")).alias("to_word"))
 
     def taken(self) -> DataFrame:
@@ -159,3 +163,29 @@ class Mix:
         same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0)
         return with_source.join(counts, same, "left").select(
             "doc_id", "source", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_repeat: int = 2,
+                    doc_id: str = "doc_id", text: str = "text", source: str = "source", length: str = "n_chars") -> DataFrame:
+    """The documents as the mix takes them, with the columns of ``docs``: one row per document and pass.
+
+    A document that a pass takes whole keeps its text; of one that it takes in part, the taken words remain, joined
+    by spaces. ``length``, if ``docs`` has it, is the new text's length. Rows repeated with the same id and text
+    count as one document here; documents without words are never taken.
+    """
+    sizes = sized(docs, doc_id, text, source).distinct()
+    mix = Mix(sizes, weights, share, max_repeat)
+    spans = mix.pieces.groupBy("doc_id", "txt", "pass_no").agg(
+        F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias("_spans"),
+        F.sum(F.col("to_word") - F.col("from_word")).alias("_n"))
+    spans = materialize(spans.select(ids_of("doc_id").alias("_id"), F.col("txt").alias("_txt"), "pass_no", "_spans", "_n"), "mix-spans")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), ids_of(f"`{doc_id}`").alias("_id"),
+                       F.xxhash64(f"`{text}`").alias("_txt"))
+    one = F.row_number().over(W.partitionBy("_id", "_txt", "pass_no").orderBy("_n"))
+    rows = rows.join(spans, ["_id", "_txt"]).withColumn("_copy", one).where("_copy = 1")
+    rows = barrier(rows.select("_row", "_spans", "_n"), _w=words_of(spaced(F.col("_row")[text])))
+    part = F.array_join(F.flatten(F.transform("_spans", lambda r: F.slice(
+        "_w", (r["from_word"] + 1).cast("int"), (r["to_word"] - r["from_word"]).cast("int")))), " ")
+    rows = rows.withColumn("_new", F.when(F.col("_n") == F.size("_w"), F.col("_row")[text]).otherwise(part))
+    new = {text: F.col("_new"), length: F.length("_new").cast(docs.schema[length].dataType) if length in docs.columns else None}
+    return rows.select(*[(new[c] if c in new else F.col("_row")[c]).alias(c) for c in docs.columns])

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lurewatch.llm import lines, mixing, quality, simhash
+from lurewatch.llm import bpe, lines, mixing, quality, simhash
 from lurewatch.llm.common import string_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,5 +45,12 @@ def op8_simhash(spark, sf):
 
 @query
 def op5_source_mix(spark, sf):
-    mix = mixing.Mix(table(spark, sf, "documents"), weights=(5, 2, 1), share=1.5, max_repeat=2)
+    mix = mixing.Mix(mixing.sized(table(spark, sf, "documents")), weights=(5, 2, 1), share=1.5, max_repeat=2)
     return mix.taken().select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query
+def op3_byte_bpe(spark, sf):
+    tokenizer = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    rows = bpe.tokenized(table(spark, sf, "documents").select("doc_id", "text"), tokenizer)
+    return bpe.with_digests(rows).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
