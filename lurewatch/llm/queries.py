@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lurewatch.llm import bpe, lines, mixing, quality, simhash
+from lurewatch.llm import bpe, lines, mixing, quality, sharding, simhash
 from lurewatch.llm.common import string_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +54,10 @@ def op3_byte_bpe(spark, sf):
     tokenizer = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     rows = bpe.tokenized(table(spark, sf, "documents").select("doc_id", "text"), tokenizer)
     return bpe.with_digests(rows).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query
+def op9_balanced_shards(spark, sf):
+    rows = sharding.sharded(table(spark, sf, "documents"), shards=40)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"))
