@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lurewatch.llm import bpe, lines, mixing, quality, sharding, simhash
+from lurewatch.llm import bpe, lines, mixing, quality, sharding, simhash, urlgraph
 from lurewatch.llm.common import string_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,3 +61,13 @@ def op9_balanced_shards(spark, sf):
     rows = sharding.sharded(table(spark, sf, "documents"), shards=40)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                        F.lit(None).cast("int").alias("grown_shard"))
+
+
+URL_RULES = [urlgraph.Rule("allow", "com", "/"), urlgraph.Rule("block", "example.com", "/en/"),
+             urlgraph.Rule("allow", "www.example.com", "/en/"), urlgraph.Rule("block", "net", "/es/"),
+             urlgraph.Rule("block", "net", "/fr/")]
+
+
+@query
+def op10_url_graph(spark, sf):
+    return urlgraph.filtered(table(spark, sf, "pages"), URL_RULES)
