@@ -44,4 +44,21 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT
 FROM j GROUP BY doc_id
 """
 
-ORACLES: dict[str, str] = {"op6_quality_ledger": OP6, "op7_line_dedup": OP7}
+_FIVE = "('0x' || substr(h, 1 + 5 * k, 5))::BIGINT"
+
+OP2 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS x FROM pages),
+d AS (SELECT page_id, strlen(x)::BIGINT AS payload_bytes, sha1(x) AS h, max(page_id) OVER (PARTITION BY x) AS leader FROM p),
+q AS (SELECT page_id, k, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ({_FIVE} >> 15)::INT, 1)
+        || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (({_FIVE} >> 10) & 31)::INT, 1)
+        || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (({_FIVE} >> 5) & 31)::INT, 1)
+        || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ({_FIVE} & 31)::INT, 1) AS s
+      FROM d, unnest(range(0, 8)) AS u(k)),
+b AS (SELECT page_id, string_agg(s, '' ORDER BY k) AS payload_digest FROM q GROUP BY page_id)
+SELECT d.page_id, payload_bytes, payload_digest,
+       CASE WHEN d.page_id = leader THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN d.page_id <> leader THEN leader END AS refers_to
+FROM d JOIN b ON b.page_id = d.page_id
+"""
+
+ORACLES: dict[str, str] = {"op2_warc_archive": OP2, "op6_quality_ledger": OP6, "op7_line_dedup": OP7}

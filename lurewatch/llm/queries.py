@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lurewatch.llm import bpe, lines, mixing, quality, sharding, simhash, urlgraph
+from lurewatch.llm import bpe, lines, mixing, quality, sharding, simhash, urlgraph, warc
 from lurewatch.llm.common import string_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,3 +71,10 @@ URL_RULES = [urlgraph.Rule("allow", "com", "/"), urlgraph.Rule("block", "example
 @query
 def op10_url_graph(spark, sf):
     return urlgraph.filtered(table(spark, sf, "pages"), URL_RULES)
+
+
+@query
+def op2_warc_archive(spark, sf):
+    manifest = warc.archive(table(spark, sf, "pages"))
+    return warc.read_archives(manifest, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
