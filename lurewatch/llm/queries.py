@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lurewatch.llm import bpe, lines, mixing, quality, sharding, simhash, urlgraph, warc
+from lurewatch.llm import bpe, lines, mixing, neardup, quality, sharding, simhash, urlgraph, warc
 from lurewatch.llm.common import string_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +78,8 @@ def op2_warc_archive(spark, sf):
     manifest = warc.archive(table(spark, sf, "pages"))
     return warc.read_archives(manifest, with_payload=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op1_embedding_near_dup(spark, sf):
+    return neardup.near_duplicates(table(spark, sf, "embeddings"), threshold=0.93)
