@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lurewatch.llm import bpe, lines, mixing, neardup, quality, sharding, simhash, urlgraph, warc
+from lurewatch.llm import bpe, langid, lines, mixing, neardup, quality, sharding, simhash, urlgraph, warc
 from lurewatch.llm.common import string_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +83,11 @@ def op2_warc_archive(spark, sf):
 @query
 def op1_embedding_near_dup(spark, sf):
     return neardup.near_duplicates(table(spark, sf, "embeddings"), threshold=0.93)
+
+
+@query
+def op4_language_by_compression(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(langid.fold("doc_id") != 1))
+    held_out = F.coalesce(langid.fold("doc_id") == 1, F.lit(False)).alias("held_out")
+    return langid.identified(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score", "accepted")
