@@ -5,8 +5,7 @@ failed rule. A policy is a versioned set of rules, that is a mask; applying one,
 what a rule contributes never reads a text again, only the bits.
 
 Edge cases: a null or empty text has no words and fails ``few_words``; all measurements are then 0. Repeated
-rows are judged one by one. An empty table gives an empty ledger. The ledger's columns are added beside the
-input's; an input column of the same name is replaced, except the id and text columns that are read.
+rows are judged one by one. An empty table gives an empty ledger. Extra columns are carried along.
 """
 
 from __future__ import annotations
@@ -72,9 +71,11 @@ def _repeat_words() -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the ``MEASURES`` to each document; everything stays in native expressions over one row."""
-    df = docs.drop(*[m for m in MEASURES if m != text])
-    df = barrier(df, _t=string_of(text), _s=spaced(F.col(text)))
+    """``_row``, a struct of the document's other columns, ``_text`` and the ``MEASURES``; native expressions over one row."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    row = F.struct(*others) if others else F.struct(F.lit(None).alias("_"))
+    df = docs.select(row.alias("_row"), F.col(f"`{text}`").alias("_text"))
+    df = barrier(df, _t=string_of("_text"), _s=spaced(F.col("_text")))
     lines = F.filter(F.split("_t", "\n"), lambda line: F.trim(line, F.lit(SPACES)) != "")
     df = barrier(df, _w=words_of(F.col("_s")), _l=lines,
                  word_chars=F.length(_without(F.col("_s"), " ")).cast("long"),
@@ -90,14 +91,17 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with their measurements and ``fail_bits``, one bit per failed rule."""
+    """The documents with their measurements and ``fail_bits``, one bit per failed rule. Input columns with the
+    name of a measurement or of ``fail_bits`` give way to it."""
     df = measure(docs, text)
     df = barrier(df, n_repeat_words=F.col("n_repeat_words"))
     bits = None
     for rule, condition in RULES.items():
         one = F.when(F.expr(condition), F.lit(bit(rule))).otherwise(0).cast("long")
         bits = one if bits is None else bits.bitwiseOR(one)
-    return df.drop("fail_bits").withColumn("fail_bits", bits)
+    own = [F.col("_text").alias(text) if c == text else F.col("_row")[c].alias(c)
+           for c in docs.columns if c not in (*MEASURES, "fail_bits")]
+    return df.select(*own, *MEASURES, bits.alias("fail_bits"))
 
 
 def passes(policy: str) -> Column:
@@ -107,8 +111,10 @@ def passes(policy: str) -> Column:
 
 def apply_policy(docs: DataFrame, policy: str, text: str = "text") -> DataFrame:
     """The documents, with their own columns only, that pass ``policy``."""
-    return ledger(docs.select(F.struct("*").alias("_row"), F.col(f"`{text}`").alias("_text")), "_text").where(
-        passes(policy)).select("_row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("_others"),
+                       F.col(f"`{text}`").alias("_body"))
+    kept = ledger(rows, "_body").where(passes(policy))
+    return kept.select(*[(F.col("_body") if c == text else F.col("_others")[c]).alias(c) for c in docs.columns])
 
 
 def ablation(rows: DataFrame, policy: str) -> DataFrame:
