@@ -102,10 +102,10 @@ def segments(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def slots(sources: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
     """source, slot, pass_no, block_no, words, shard: what the mix takes, one row per output slot.
 
-    ``sources`` has source, source_size and target. A source's slot numbers are cut into runs of 65,536, so that a
-    large source is generated by many tasks.
+    ``sources`` has source, source_size and target. A source's slot numbers are cut into runs, so that a large
+    source is generated by many tasks.
     """
-    run = 65_536
+    run, parts = 16_384, int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     df = sources.where("source_size > 0").select(
         "source", F.col("source_size").alias("_size"), F.round("target").cast("long").alias("_target"))
     df = df.withColumns({"_full": F.floor(F.col("_size") / block), "_passes": F.floor(F.col("_target") / F.col("_size")),
@@ -114,7 +114,7 @@ def slots(sources: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataF
     df = df.withColumn("_rest", rest).withColumn(
         "_slots", F.col("_passes") * F.col("_per") + F.ceil(F.col("_rest") / block)).where("_slots > 0")
     df = df.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_slots") - 1) / run))))
-    df = df.repartition("source", "_run").withColumn("slot", F.explode(F.sequence(
+    df = df.repartition(parts, "source", "_run").withColumn("slot", F.explode(F.sequence(
         F.col("_run") * run, F.least(F.col("_slots"), (F.col("_run") + 1) * run) - 1)))
     df = barrier(df, slot=F.col("slot"), pass_no=F.floor(F.col("slot") / F.col("_per")), _k=F.pmod("slot", "_per"))
     # Full blocks are permuted; the short block at the end of a source keeps the last place of a pass.
@@ -146,7 +146,8 @@ class Mix:
         self.slots = slots(self.sources, block, shards)
         cut = segments(self.docs, block)
         picks = self.slots.select(F.col("source").alias("_source"), F.col("block_no").alias("_no"), "shard", "slot", "pass_no", "words")
-        joined = cut.join(picks, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block_no") == F.col("_no")))
+        # The slots come out of a short table of runs, so the planner takes them for small; they are not.
+        joined = cut.join(picks.hint("merge"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("block_no") == F.col("_no")))
         base = F.col("block_no") * block - F.col("start")
         #: Which words of which document a slot holds: doc_id, txt, source, start (of the document in its source),
         #: shard, slot, pass_no, from_word, to_word.
