@@ -64,6 +64,19 @@ TLD_RISK = {
 }
 DEFAULT_TLD_RISK = 0.5
 
+# ---- fixed values: public second-level registries -----------------------------------------
+SECOND_LEVEL_SUFFIXES = [
+    "ac.uk", "gov.uk", "ltd.uk", "me.uk", "net.uk", "plc.uk", "sch.uk", "edu.au", "gov.au", "id.au", "net.au", "org.au",
+    "co.in", "ac.in", "edu.in", "firm.in", "gen.in", "gov.in", "ind.in", "net.in", "org.in", "edu.my", "gov.my", "name.my",
+    "net.my", "org.my", "com.sg", "edu.sg", "gov.sg", "net.sg", "org.sg", "co.id", "ac.id", "go.id", "or.id", "sch.id",
+    "web.id", "co.th", "ac.th", "go.th", "in.th", "or.th", "ac.jp", "ad.jp", "ed.jp", "go.jp", "gr.jp", "lg.jp", "ne.jp",
+    "or.jp", "co.kr", "ac.kr", "go.kr", "or.kr", "re.kr", "com.cn", "edu.cn", "gov.cn", "net.cn", "org.cn", "com.tw",
+    "edu.tw", "gov.tw", "org.tw", "com.hk", "edu.hk", "gov.hk", "org.hk", "edu.br", "gov.br", "net.br", "org.br", "com.mx",
+    "edu.mx", "gob.mx", "org.mx", "com.ar", "gob.ar", "org.ar", "com.tr", "edu.tr", "gov.tr", "org.tr", "co.za", "ac.za",
+    "gov.za", "org.za", "co.nz", "ac.nz", "govt.nz", "org.nz", "co.il", "ac.il", "gov.il", "org.il", "com.ph", "gov.ph",
+    "com.vn", "edu.vn", "gov.vn", "com.pk", "gov.pk", "com.ng", "gov.ng", "com.eg", "com.sa", "com.ua", "gov.ua", "com.pl",
+]
+
 # ---- fixed values: hosts whose model score is capped ---------------------------------------
 TRUSTED_DOMAINS = [
     "maybank2u.com.my", "cimbclicks.com.my", "rhbonlinebanking.com.my", "pbebank.com", "hlb.com.my",

@@ -7,10 +7,8 @@ from collections.abc import Callable
 from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lurewatch.workspace import materialize
-
-
-MAX_STRATA = 1_000
+#: A cell with more rows than this is cut by four more digits before its rows are ordered.
+CELL_ROWS = 1_000_000
 
 
 def hash_ranks(df: DataFrame, strata: str, key_hash: Column, ranks: Callable[[dict], dict]) -> dict:
@@ -19,27 +17,35 @@ def hash_ranks(df: DataFrame, strata: str, key_hash: Column, ranks: Callable[[di
     ``ranks`` maps the stratum sizes to the wanted ranks, ``{stratum: [rank, ...]}``. Two passes read
     the stratum and the key only. The first counts rows per cell, a cell being the first four hex
     digits; the cell in which a rank falls is then known, and the second pass orders just the rows of
-    those cells, 1/65536 of the table each. Rows are never sorted or moved as a whole.
+    those cells. Cells that are too large for that are cut again, so the cells shrink as the table grows. Rows are
+    never sorted or moved as a whole. A null stratum is a stratum; there is one row per stratum and rank on the driver.
     """
-    keyed = df.select(strata, key_hash.alias("_hash"), F.substring(key_hash, 1, 4).alias("_cell"))
-    cells = materialize(keyed.groupBy(strata, "_cell").agg(F.count(F.lit(1)).alias("_n")), "cells")
-    sizes = {r[strata]: r["n"] for r in cells.groupBy(strata).agg(F.sum("_n").alias("n")).limit(MAX_STRATA + 1).collect()}
-    if len(sizes) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata in {strata}")
-    wanted = [(s, i, r) for s, rs in ranks(sizes).items() for i, r in enumerate(rs) if r > 0]
-    if not wanted:
-        return {s: [] for s in sizes}
-    wanted_df = df.sparkSession.createDataFrame(wanted, f"{strata} {dict(df.dtypes)[strata]}, _part int, _rank bigint")
-    upto = W.partitionBy(strata).orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)
-    edge = (cells.withColumn("_upto", F.sum("_n").over(upto)).join(F.broadcast(wanted_df), strata)
-            .where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank")))
-            .select(strata, "_part", "_cell", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_need")))
-    found = (keyed.join(F.broadcast(edge), [strata, "_cell"])  # one row per wanted rank
-             .withColumn("_r", F.row_number().over(W.partitionBy(strata, "_part").orderBy("_hash")))
-             .where("_r = _need").select(strata, "_hash").collect())
+    spark, kind = df.sparkSession, dict(df.dtypes)[strata]
+    keyed = df.select(F.col(strata).alias("_s"), key_hash.alias("_hash"))
+    sizes = {r["_s"]: r["n"] for r in keyed.groupBy("_s").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted = [(s, i, r, "") for s, rs in ranks(sizes).items() for i, r in enumerate(rs) if r > 0]
     out = {s: [] for s in sizes}
-    for row in found:
-        out[row[strata]].append(row["_hash"])
+    digits, largest = 0, max(sizes.values(), default=0)
+    # A wanted rank is narrowed to its place in ever smaller cells: (stratum, part, rank in the cell, the cell).
+    while wanted and (digits == 0 or largest > CELL_ROWS) and digits < 32:
+        table = spark.createDataFrame(wanted, f"_s {kind}, _part int, _rank bigint, _inside string")
+        near = keyed.join(F.broadcast(table.select("_s", "_inside").distinct().toDF("_s2", "_inside")),
+                          F.col("_s").eqNullSafe(F.col("_s2")) & (F.substring("_hash", 1, digits) == F.col("_inside")))
+        digits += 4
+        cells = near.groupBy("_s", "_inside", F.substring("_hash", 1, digits).alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+        upto = W.partitionBy("_s", "_inside").orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)
+        placed = cells.withColumn("_upto", F.sum("_n").over(upto))
+        t, p = table.alias("t"), placed.alias("p")
+        hit = p.join(F.broadcast(t), F.expr("p._s <=> t._s AND p._inside = t._inside AND _upto >= _rank AND _upto - _n < _rank"))
+        found = hit.select("t._s", "_part", F.expr("_rank - _upto + _n").alias("_rank"), "_cell", "_n").collect()
+        wanted = [(r["_s"], r["_part"], r["_rank"], r["_cell"]) for r in found]
+        largest = max((r["_n"] for r in found), default=0)
+    if wanted:
+        table = spark.createDataFrame(wanted, f"_s2 {kind}, _part int, _need bigint, _cell string")  # one row per wanted rank
+        rows = keyed.join(F.broadcast(table), F.col("_s").eqNullSafe(F.col("_s2")) & (F.substring("_hash", 1, digits) == F.col("_cell")))
+        ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy("_s", "_part").orderBy("_hash")))
+        for row in ranked.where("_r = _need").select("_s", "_hash").collect():
+            out[row["_s"]].append(row["_hash"])
     return {s: sorted(hashes) for s, hashes in out.items()}
 
 

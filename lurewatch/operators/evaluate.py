@@ -321,9 +321,10 @@ def ensemble_weights(model_metrics: DataFrame) -> DataFrame:
 def cv_rank(fold_scores: DataFrame, params: list[str], top: int | None = 10) -> DataFrame:
     """Mean, population deviation and shared-minimum rank of each setting over its folds."""
     per = fold_scores.groupBy(*params).agg(F.avg("score").alias("_m"), F.stddev_pop("score").alias("_s"))
-    rounded = per.select(*params, F.round("_m", 6).alias("mean_score"), F.round("_s", 6).alias("std_score"))
     # one row per setting, so a single ordered window is small
-    ranked = rounded.withColumn("rank", F.rank().over(W.partitionBy(F.lit(0)).orderBy(F.desc("mean_score"))))
+    order = W.partitionBy(F.lit(0)).orderBy(F.desc("_m"))
+    ranked = per.select(*params, F.round("_m", 6).alias("mean_score"), F.round("_s", 6).alias("std_score"),
+                        F.rank().over(order).alias("rank"))
     return ranked if top is None else ranked.orderBy("rank", *params).limit(top)
 
 

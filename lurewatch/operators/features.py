@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lurewatch.fixed.words import (
-    DEFAULT_TLD_RISK, FEATURES, LOGIN_KEYWORDS, NO_LABEL_DISTANCE, SHORTENERS, SPOOFED_BRANDS,
-    TLD_RISK, TOP_BRANDS)
+    DEFAULT_TLD_RISK, FEATURES, LOGIN_KEYWORDS, NO_LABEL_DISTANCE, SECOND_LEVEL_SUFFIXES, SHORTENERS,
+    SPOOFED_BRANDS, TLD_RISK, TOP_BRANDS)
 from lurewatch.functions import text as T
 from lurewatch.functions.urlparts import PART_COLUMNS, second_last_label, strip_www, with_url_parts
-from lurewatch.workspace import broadcast_if_small, materialize
+from lurewatch.workspace import materialize
 
 
 
@@ -79,7 +79,7 @@ def url_features(df: DataFrame, url: str = "url", cache: DataFrame | None = None
     keep = df.columns
     df = _with_work_columns(df, url)
     if cache is not None:
-        df = df.join(broadcast_if_small(cache), "_label", "left")
+        df = df.join(cache, "_label", "left")
         distance = F.coalesce(F.col("_distance"), brand_distance("_label"))
     else:
         distance = brand_distance("_label")
@@ -140,12 +140,17 @@ def char_profile(df: DataFrame, url: str = "url") -> DataFrame:
                      part(F.col("_s")).alias("special_ratio"))
 
 
+def suffix_dimension(spark: SparkSession) -> DataFrame:
+    """suffix: the endings of the risk table and common second-level registries."""
+    return spark.createDataFrame([(s,) for s in [*TLD_RISK, *SECOND_LEVEL_SUFFIXES]], "suffix string")
+
+
 def host_parts(df: DataFrame, url: str = "url", suffixes: DataFrame | None = None) -> DataFrame:
     """Public suffix, registered-domain length and subdomain count.
 
     The longest known suffix of up to three labels wins; an unknown ending counts as a one-label
-    suffix. ``suffixes`` is a table with a ``suffix`` column (for instance the public suffix list);
-    without it the endings of the risk table are used as literals.
+    suffix. ``suffixes`` is a table with a ``suffix`` column, such as ``suffix_dimension`` or the public suffix
+    list; it is joined once, by the last label. Without it the built-in suffixes are literals.
     """
     keep = df.columns
     df = with_url_parts(df, url)
@@ -156,14 +161,12 @@ def host_parts(df: DataFrame, url: str = "url", suffixes: DataFrame | None = Non
     df = df.withColumn("_nlabels", T.count_char(F.col("_h"), ".") + 1)
     candidates = {k: F.substring_index("_h", ".", -k) for k in (3, 2, 1)}
     if suffixes is None:
-        known = {k: c.isin(list(TLD_RISK)) for k, c in candidates.items()}
+        known = {k: c.isin([*TLD_RISK, *SECOND_LEVEL_SUFFIXES]) for k, c in candidates.items()}
     else:
-        known = {}
-        dim = broadcast_if_small(suffixes.select("suffix").distinct())
-        for k, c in candidates.items():
-            df = df.withColumn(f"_c{k}", c).join(
-                dim.select(F.col("suffix").alias(f"_c{k}"), F.lit(True).alias(f"_k{k}")), f"_c{k}", "left")
-            known[k] = F.coalesce(F.col(f"_k{k}"), F.lit(False))
+        by_last = suffixes.groupBy(F.substring_index("suffix", ".", -1).alias("_last")).agg(
+            F.collect_set("suffix").alias("_known"))
+        df = df.withColumn("_last", candidates[1]).join(by_last, "_last", "left")
+        known = {k: F.coalesce(F.array_contains("_known", c), F.lit(False)) for k, c in candidates.items()}
     size = (F.when(F.col("_ip"), 0)
             .when((F.col("_nlabels") >= 3) & known[3], 3)
             .when((F.col("_nlabels") >= 2) & known[2], 2)

@@ -17,14 +17,13 @@ def over_groups():
 
 
 def dedupe_first(df: DataFrame, key: str = "url", order: str = "url_id") -> DataFrame:
-    """Keep the row with the smallest ``order`` per ``key``.
+    """Keep the row with the smallest ``order``, which numbers the rows of the table, per ``key``.
 
-    A plain aggregation combines copies before the shuffle, so a URL that makes up a third of the
-    table costs one row per task; a ranking window would send all copies to one task.
+    A hash aggregation of the two columns combines copies before the shuffle, so a URL that makes up a
+    third of the table costs one row per task; the winners' numbers then pick whole rows, so no result mixes two.
     """
-    others = [c for c in df.columns if c not in (key, order)]
-    kept = df.groupBy(key).agg(F.min(order).alias(order), *[F.min_by(c, order).alias(c) for c in others])
-    return kept.select(df.columns)
+    first = df.groupBy(key).agg(F.min(order).alias(order)).select(order)
+    return df.join(first, order, "left_semi").select(df.columns)
 
 
 def flip_label(df: DataFrame, source: str = "source_label", target: str = "label") -> DataFrame:
@@ -44,7 +43,7 @@ def _held_out_sizes(sizes: dict, fraction: float) -> dict:
     keep = n - math.ceil(n * fraction)
     share = {c: size * keep / n for c, size in sizes.items()}
     kept = {c: math.floor(x) for c, x in share.items()}
-    by_remainder = sorted(sizes, key=lambda c: (kept[c] - share[c], c))
+    by_remainder = sorted(sizes, key=lambda c: (kept[c] - share[c], c is None, 0 if c is None else c))
     for c in by_remainder[:keep - sum(kept.values())]:
         kept[c] += 1
     return {c: [sizes[c] - kept[c]] for c in sizes}
@@ -140,12 +139,12 @@ def augment_profile(augmented: DataFrame) -> DataFrame:
 def quality_profile(df: DataFrame) -> DataFrame:
     """Nulls, empties, duplicate URLs and label values in one row; copies combine before the shuffle."""
     per_url = df.groupBy("url").agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("label").isNull()).alias("_null_labels"),
-        F.collect_set("label").alias("_labels"))
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("label").isNull()).alias("_null_labels"))
+    labels = df.agg(F.count_distinct("label").cast("int")).scalar()
     return per_url.agg(
         F.sum("_n").alias("n_rows"),
         F.coalesce(F.sum(F.when(F.col("url").isNull(), F.col("_n"))), F.lit(0)).alias("null_urls"),
         F.coalesce(F.sum(F.when(F.col("url") == "", F.col("_n"))), F.lit(0)).alias("empty_urls"),
         (F.sum("_n") - F.count(F.lit(1))).alias("duplicate_rows"),
         F.sum("_null_labels").alias("null_labels"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("_labels")))).alias("distinct_labels"))
+        F.max(labels).alias("distinct_labels"))

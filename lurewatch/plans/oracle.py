@@ -124,7 +124,7 @@ def _features(src: str) -> str:
         ("qty_equal", "="), ("qty_percent", "%")))
     return rf"""
 SELECT * EXCLUDE (cl,pre,rest,netloc,valid,before,rawpath,fragment,host,scheme,query,path,hnw,lhost,labels,llabels,hlabels,domain,u0,u1,u2,u3,u4,u5,u6,u7,u8,u9,u10,n,digits,letters,u),
-  CAST(n AS INTEGER) AS url_length, {counts},
+  lhost AS thost, CAST(n AS INTEGER) AS url_length, {counts},
   CAST(CASE WHEN len(hlabels)>=2 THEN len(hlabels[-2]) ELSE len(hnw) END AS INTEGER) AS domain_length,
   CAST(CASE WHEN len(labels)>=2 THEN len(labels[-1]) ELSE 0 END AS INTEGER) AS tld_length,
   CASE WHEN n=0 THEN 0.0::DOUBLE ELSE round(list_aggregate(string_split(u,''),'entropy'),4) END AS url_entropy,
@@ -132,7 +132,7 @@ SELECT * EXCLUDE (cl,pre,rest,netloc,valid,before,rawpath,fragment,host,scheme,q
   CASE WHEN n=0 THEN 0.0::DOUBLE ELSE round(digits::DOUBLE/n,4) END AS digit_ratio,
   CASE WHEN n=0 THEN 0.0::DOUBLE ELSE round(letters::DOUBLE/n,4) END AS alpha_ratio,
   CASE WHEN n<2 THEN 0.0::DOUBLE ELSE round((len(regexp_extract_all(u,'{_RUNS}'))-1)::DOUBLE/n,4) END AS char_continuation_rate,
-  CAST(starts_with(lower(u),'https://') AS INTEGER) AS has_https,
+  CAST(starts_with(lower(u),'https://') AS INTEGER) AS has_https, NOT valid AS broken,
   CAST(CASE WHEN starts_with(lhost,'www.') THEN substr(lhost,5) ELSE lhost END IN ({",".join(map(q, words.SHORTENERS))}) AS INTEGER) AS has_shortener,
   CAST(regexp_matches(lower(u), '{"|".join(words.LOGIN_KEYWORDS)}') AS INTEGER) AS has_login_keyword,
   CAST(valid AND (regexp_matches(hnw,'^([0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}$') OR regexp_matches(hnw,'^(0x[0-9a-fA-F]+\.){{3}}0x[0-9a-fA-F]+$')
@@ -207,8 +207,8 @@ FROM (SELECT *, {_severity('final_score')} AS verdict, {rnd("final_score", 4)} A
  FROM (SELECT *, CASE WHEN blank THEN 0.0::DOUBLE WHEN high THEN 1.0::DOUBLE WHEN susp AND layer2<0.5 THEN greatest(layer2,0.55::DOUBLE)
      WHEN susp THEN least(layer2+0.05::DOUBLE,1.0::DOUBLE) WHEN trusted AND layer2>0.3 THEN 0.15::DOUBLE ELSE layer2 END AS final_score
   FROM (SELECT s.*, layer1_verdict='SUSPICIOUS' AS susp, regexp_matches(coalesce(s.url,''), '^\\s*$') AS blank,
-        layer1_verdict='HIGH_RISK' AND NOT regexp_matches(coalesce(s.url,''), '^\\s*$') AS high, {_trusted_expr('lower(t.host)')} AS trusted
-     FROM ({src}) s JOIN ({_parts(f"(SELECT url_id, url FROM ({src}))")}) t ON s.url_id=t.url_id)))"""
+        layer1_verdict='HIGH_RISK' AND NOT regexp_matches(coalesce(s.url,''), '^\\s*$') AS high, {_trusted_expr('s.thost')} AS trusted
+     FROM ({src}) s)))"""
 
 
 PIECES["feat"] = _features("corpus").replace("FROM corpus", "FROM corpus")
@@ -304,7 +304,7 @@ PIECES["freepred"] = _long(_surr("freerows"), {m: c for m, c in _MODELS.items()
 
 # ---- host parts -----------------------------------------------------------------------------
 
-_SUFFIX = lst(words.TLD_RISK)
+_SUFFIX = lst([*words.TLD_RISK, *words.SECOND_LEVEL_SUFFIXES])
 
 
 def _host_parts(src: str) -> str:
@@ -392,7 +392,7 @@ JOIN (SELECT url_id, layer1_verdict, {_vscore('0')} AS s0 FROM attackhits) b ON
 
 # ---- hold-out and specimens -----------------------------------------------------------------
 
-PIECES["holdsrc"] = "SELECT url_id, url FROM corpus UNION ALL SELECT -1-url_id, url FROM edges WHERE url IS NOT NULL"
+PIECES["holdsrc"] = "SELECT url_id, url FROM corpus UNION ALL SELECT -1-url_id, url FROM edges"
 PIECES["holdhits"] = f"SELECT * REPLACE (abs(layer2) AS layer2) FROM ({_surr('(' + _hits('(' + _features('holdsrc') + ')') + ')')})"
 PIECES["holdscored"] = _scored("SELECT * FROM holdhits")
 PIECES["holdout"] = f"""SELECT s.url_id, substr(s.url,1,150) AS url, CASE WHEN e THEN 'ERROR' ELSE verdict END AS verdict,
@@ -400,7 +400,7 @@ PIECES["holdout"] = f"""SELECT s.url_id, substr(s.url,1,150) AS url, CASE WHEN e
   CASE WHEN NOT e THEN layer2_score END AS layer2_score, escalated AND NOT e AS escalated,
   CASE WHEN e THEN '' ELSE array_to_string(techniques,',') END AS mitre,
   CASE WHEN e THEN 'unbalanced_brackets' ELSE array_to_string(rules,',') END AS rules
-FROM holdscored s JOIN (SELECT url_id, NOT valid AS e FROM ({_parts('holdsrc')})) x ON s.url_id=x.url_id"""
+FROM (SELECT *, broken AS e FROM holdscored) s"""
 def _hold_rows(src: str) -> str:
     groups = ([("rows", "total", "true", "total"), ("rows", "valid", "verdict<>'ERROR'", "total"), ("rows", "errors", "verdict='ERROR'", "total")]
               + [("verdict", v, f"verdict='{v}'", "total") for v in RU.VERDICTS]
@@ -511,7 +511,7 @@ O["ensemble_weights"] = sql("SELECT model, f1, round(f1/sum(f1) OVER (),4) AS we
 O["ensemble_score"] = sql(f"SELECT url_id, {rnd('layer2', 6)} AS ensemble, (layer2>=0.5)::INTEGER AS pred FROM surr")
 PIECES["folds"] = ORACLES["stratified_folds"][ORACLES["stratified_folds"].index("SELECT url_id, label, CAST"):]
 PIECES["foldpred"] = _long(_surr("folds"), {"setting_1": "p1", "setting_2": "p2", "setting_3": "p3", "setting_4": "layer2", "setting_5": "p1"}, "fold,label")
-O["cv_rank"] = sql(f"""SELECT *, rank() OVER (ORDER BY mean_score DESC)::INTEGER AS rank FROM (SELECT setting, round(avg(f1),6) AS mean_score, round(stddev_pop(f1),6) AS std_score
+O["cv_rank"] = sql(f"""SELECT setting, round(m,6) AS mean_score, round(s,6) AS std_score, rank() OVER (ORDER BY m DESC)::INTEGER AS rank FROM (SELECT setting, avg(f1) AS m, stddev_pop(f1) AS s
   FROM (SELECT model AS setting, f1 FROM ({_metrics('foldpred', 'model,fold', 12)})) GROUP BY setting)""")
 PIECES["pred3m"] = _metrics("pred3", "model,split")
 O["overfit_gap"] = sql("""SELECT t.model, t.f1 AS train_f1, v.f1 AS validation_f1, e.f1 AS test_f1, round(abs(t.f1-v.f1),4) AS gap,
@@ -557,7 +557,7 @@ O["top_signals"] = sql("SELECT url_id, rank, feature, value, plain, jargon, tech
 _tech = _values([(k, *v) for k, v in texts.TECHNIQUES.items()], "technique,name,plain,jargon")
 O["technique_info"] = sql(f"""SELECT r.url_id, r.rank::INTEGER AS rank, r.technique, coalesce(v.name, r.technique) AS name, coalesce(v.plain,'') AS plain, coalesce(v.jargon,'') AS jargon
   FROM (SELECT url_id, unnest(t) AS technique, generate_subscripts(t,1) AS rank FROM (SELECT url_id, {_final} AS t FROM inferred)) r LEFT JOIN {_tech} ON v.technique=r.technique""")
-O["analyze_batch"] = sql(f"SELECT url_id, verdict, score, 24::INTEGER AS n_features, round({'+'.join(words.FEATURES)},6) AS checksum, url_entropy FROM scored")
+O["analyze_batch"] = sql(f"SELECT url_id, verdict, score, {', '.join(f'{f}::DOUBLE AS {f}' for f in words.FEATURES)} FROM scored")
 O["features_long"] = sql(" UNION ALL ".join(f"SELECT url_id, '{g}' AS feature_group, '{f}' AS feature, {f}::DOUBLE AS value FROM feat" for g, names in words.FEATURE_GROUPS.items() for f in names))
 O["verdict_summary"] = sql("SELECT url_id, verdict, CASE verdict " + " ".join(f"WHEN '{k}' THEN {q(v)}" for k, v in texts.VERDICT_SUMMARIES.items()) + " END AS summary FROM scored")
 
@@ -627,7 +627,7 @@ O["length_box"] = sql("""SELECT s.label, any_value(q1) AS q25, any_value(q2) AS
   min(CASE WHEN i THEN url_length END)::BIGINT AS whisker_low, max(CASE WHEN i THEN url_length END)::BIGINT AS whisker_high, count_if(NOT i)::BIGINT AS outliers
   FROM (SELECT s.label, url_length, q1, q2, q3, url_length BETWEEN q1-1.5*(q3-q1) AND q3+1.5*(q3-q1) AS i FROM sized s JOIN (
     SELECT label, quantile_cont(url_length,0.25)::DOUBLE AS q1, quantile_cont(url_length,0.5)::DOUBLE AS q2, quantile_cont(url_length,0.75)::DOUBLE AS q3 FROM sized GROUP BY label) x ON s.label=x.label) s GROUP BY s.label""")
-O["topk_longest"] = sql("SELECT label, rank, url_id, url_length::INTEGER AS url_length, substr(url,1,200) AS url FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY url_length DESC, url_id)::INTEGER AS rank FROM sized) WHERE rank<=5")
+O["topk_longest"] = sql("SELECT label, rank, url_id, url_length::INTEGER AS url_length, url FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY url_length DESC, url_id)::INTEGER AS rank FROM sized) WHERE rank<=5")
 O["char_ratio_means"] = sql(f"SELECT label, round(avg(d),4) AS digit_ratio, round(avg(a),4) AS alpha_ratio, round(avg(s),4) AS special_ratio FROM (SELECT label, {_chars} FROM corpus) GROUP BY label")
 O["topk_tld"] = sql("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, tld)::INTEGER AS rank FROM (SELECT label, tld, count(*) AS n FROM hosts GROUP BY label, tld)) WHERE rank<=15")
 O["tld_risk_mined"] = sql("""SELECT * FROM (SELECT tld, total_count, legit_share, round(1.0::DOUBLE-legit_share,4) AS phishing_share FROM (

@@ -20,7 +20,7 @@ from lurewatch.operators import (
     rules as R)
 from lurewatch.sources import reports, specimens as S, urls as U
 from lurewatch.streaming import jobs as J
-from lurewatch.workspace import materialize, shared_path, spread
+from lurewatch.workspace import materialize, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -34,7 +34,7 @@ def query(fn: Query) -> Query:
 # ---- shared inputs --------------------------------------------------------------------------
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url"), "page_id")
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
@@ -273,7 +273,7 @@ def char_profile(spark, sf):
 def host_parts(spark, sf):
     rows = corpus(spark, sf).select("url_id", "url").unionByName(
         edges(spark, sf).select((-1 - F.col("url_id")).alias("url_id"), "url"))
-    return C.host_parts(rows).drop("url")
+    return C.host_parts(rows, suffixes=C.suffix_dimension(spark)).drop("url")
 
 
 @query
@@ -550,9 +550,7 @@ def technique_info(spark, sf):
 @query
 def analyze_batch(spark, sf):
     rows = scored(spark, sf).select("url_id", "verdict", "score", H.feature_map().alias("m"))
-    return rows.select("url_id", "verdict", "score", F.size("m").alias("n_features"),
-                       F.round(F.aggregate(F.map_values("m"), F.lit(0.0), lambda a, x: a + x), 6).alias("checksum"),
-                       F.col("m")["url_entropy"].alias("url_entropy"))
+    return rows.select("url_id", "verdict", "score", *[F.col("m")[f].alias(f) for f in FEATURES])
 
 
 @query
@@ -646,7 +644,7 @@ def collision_summary(spark, sf):
 
 def _holdout(spark, sf):
     rows = corpus(spark, sf).select("url_id", "url").unionByName(
-        edges(spark, sf).select((-1 - F.col("url_id")).alias("url_id"), "url").where("url is not null"))
+        edges(spark, sf).select((-1 - F.col("url_id")).alias("url_id"), "url"))
     checked = C.quarantine(rows)
     checked = checked.withColumn("error", F.when(F.col("error") == "unbalanced_brackets", F.col("error")))
     base = with_surrogates(R.rule_hits(C.url_features(checked)))
@@ -757,7 +755,7 @@ def length_box(spark, sf):
 
 @query
 def topk_longest(spark, sf):
-    return X.longest(corpus(spark, sf)).select("label", "rank", "url_id", "url_length", F.substring("url", 1, 200).alias("url"))
+    return X.longest(corpus(spark, sf)).select("label", "rank", "url_id", "url_length", "url")
 
 
 @query
@@ -766,7 +764,7 @@ def char_ratio_means(spark, sf):
 
 
 def _hosts(spark, sf):
-    return C.host_parts(corpus(spark, sf))
+    return C.host_parts(corpus(spark, sf), suffixes=C.suffix_dimension(spark))
 
 
 @query
@@ -849,7 +847,8 @@ def stream_score(spark, sf):
 def _events(spark, sf, streaming: bool):
     """Click events with the URL they hit and its score."""
     urls = J.score_urls(corpus(spark, sf), _with_layer2).select("url_id", "url", "verdict", "score")
-    n = corpus(spark, sf).count()
+    urls = materialize(urls, "scored-urls")  # scored once, not again for every micro-batch
+    n = urls.count()
     schema = "event_id bigint, ts timestamp"
     events = (J.read_stream(spark, f"{sf}/events.parquet", schema) if streaming
               else spark.read.parquet(f"{sf}/events.parquet").select("event_id", "ts"))

@@ -17,13 +17,13 @@ def metric_rows(table: DataFrame, section: str, item: str, metrics: list[str]) -
 
 
 def write_report(rows: DataFrame, path: str) -> None:
-    """Report rows as JSON lines. A report has one row per metric, so one file is enough."""
-    rows.coalesce(1).write.mode("overwrite").json(path)
+    """Report rows as JSON lines."""
+    rows.write.mode("overwrite").json(path)
 
 
 def write_nested_report(table: DataFrame, path: str) -> None:
     """A record with nested structs (findings, search results) as JSON."""
-    table.coalesce(1).write.mode("overwrite").json(path)
+    table.write.mode("overwrite").json(path)
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:

@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lurewatch.workspace import path_exists
 
-def read_labelled_csv(spark: SparkSession, path: str, url: str = "URL", label: str = "label") -> DataFrame:
-    """Two columns of a wide CSV with header. The parser only materialises the selected columns."""
-    raw = spark.read.csv(path, header=True, inferSchema=False)
+# Quotes inside a quoted field are doubled, a field may hold line breaks, blanks at its ends count, and an empty
+# field is null while a quoted empty one is an empty text.
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true", "nullValue": "", "emptyValue": '""',
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+CSV_READ = CSV_OPTIONS | {"emptyValue": ""}
+
+
+def read_labelled_csv(spark: SparkSession, path: str, url: str = "URL", label: str = "label",
+                      schema: str | None = None) -> DataFrame:
+    """Two columns of a wide CSV with header; the parser only materialises the selected columns.
+
+    ``schema`` declares all columns; without it they are taken from the header, as text.
+    """
+    reader = spark.read.options(**CSV_READ)
+    raw = (reader.schema(schema) if schema else reader).csv(path)
     return raw.select(F.col(url).alias("url"), F.col(label).cast("int").alias("source_label"))
 
 
 def read_wide_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """All columns under a declared schema."""
-    return spark.read.csv(path, header=True, schema=schema)
+    return spark.read.options(**CSV_READ).schema(schema).csv(path)
 
 
 def clean_feed(lines: DataFrame) -> DataFrame:
@@ -35,13 +47,11 @@ def write_splits(df: DataFrame, path: str) -> None:
 def read_split(spark: SparkSession, path: str, split: str, augmented_path: str | None = None) -> DataFrame:
     """One split of a prepared table; the augmented variant when it exists, else the plain one."""
     if augmented_path is not None and split == "train":
-        try:
+        if path_exists(spark, augmented_path):
             return spark.read.parquet(augmented_path).where(F.col("split") == split)
-        except AnalysisException:
-            pass
     return spark.read.parquet(path).where(F.col("split") == split)
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Result tables as parquet, CSV with header, or JSON lines."""
-    df.write.mode("overwrite").format(fmt).options(**({"header": True} if fmt == "csv" else {})).save(path)
+    df.write.mode("overwrite").format(fmt).options(**(CSV_OPTIONS if fmt == "csv" else {})).save(path)

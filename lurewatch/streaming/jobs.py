@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lurewatch.operators.features import url_features
@@ -48,12 +47,9 @@ def recent_scans_sink(path: str, n: int = 5, ts: str = "ts", key: str = "event_i
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         newest = recent_scans(batch, n, ts, key)
-        if batch_id > 0:
-            try:
-                before = batch.sparkSession.read.parquet(f"{path}/{batch_id - 1}")
-                newest = newest.unionByName(before).orderBy(F.desc(ts), F.desc(key)).limit(n)
-            except AnalysisException:
-                pass  # the first batches had no rows
+        if batch_id > 0:  # every batch, also one without rows, leaves a folder; without it the state is lost: fail
+            before = batch.sparkSession.read.schema(newest.schema).parquet(f"{path}/{batch_id - 1}")
+            newest = newest.unionByName(before).orderBy(F.desc(ts), F.desc(key)).limit(n)
         newest.write.mode("overwrite").parquet(f"{path}/{batch_id}")
     return merge
 

@@ -1,11 +1,12 @@
-"""Shared working folder, materialised tables and size-checked broadcasts."""
+"""Shared working folder and materialised tables."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 _local_base: str | None = None
 
@@ -13,19 +14,37 @@ _local_base: str | None = None
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path under the folder named by ``spark.checkpoint.dir``.
 
-    Every executor has to reach that folder, so a cluster session without the setting is an error.
-    Only a local session falls back to a temporary folder.
+    Every executor has to reach that folder, so a session without the setting is an error, unless it is one single
+    process (master ``local[...]``, as in tests), which may use a folder of its own.
     """
     global _local_base
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         _local_base = _local_base or tempfile.mkdtemp(prefix="lurewatch-")
         base = _local_base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any file system that Spark knows."""
+    system, where = _hadoop_path(spark, path)
+    return bool(system.exists(where))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that this package has written to the shared folder."""
+    system, where = _hadoop_path(spark, path)
+    system.delete(where, True)
+
+
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: short lineage that survives lost executors."""
     path = shared_path(df.sparkSession, name)
@@ -34,18 +53,3 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast ``df`` only when a count, which stops after ``max_rows``, proves that it is small.
-
-    A larger table is returned without a hint, so the join shuffles instead.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Repartition only an input with fewer partitions than cores, such as one small file that fans out into
-    many rows. A large table already has more partitions and is returned as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

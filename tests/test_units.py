@@ -13,6 +13,9 @@ from lurewatch.operators import evaluate as E, features as C, hybrid as H, mutat
 from lurewatch.sources import urls as U
 from lurewatch.streaming import jobs as J
 
+#: Checksums of the fixed values; a wanted change of a list changes the line here too.
+FIXED = {"rules": "fef6bc4bfcefeaac", "texts": "3606785cf9fad45c", "words": "6d8d52c3140484c4"}
+
 
 def table(spark, urls):
     return spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "url_id bigint, url string")
@@ -244,10 +247,54 @@ def test_split_table_prunes_partitions(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(split" in side._jdf.queryExecution().toString() and side.count() == 1
 
 
-def test_broadcast_is_size_checked(spark):
-    df = spark.range(50)
-    assert "broadcast" in workspace.broadcast_if_small(df, 50)._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in workspace.broadcast_if_small(df, 49)._jdf.queryExecution().logical().toString().lower()
+def test_csv_keeps_quotes_commas_backslashes_and_line_breaks(spark, tmp_path):
+    odd = ['http://b.com/\\",2,1', 'http://a.com/?q="x",y', "http://c.com/a,b\\", "http://d.com/\nnext", '"', "  http://e.com  ", None, "",
+           "http://f.com/\\\\n", "plain"]
+    df = spark.createDataFrame([(u, i % 2) for i, u in enumerate(odd)], "URL string, label int")
+    U.write_result(df, str(tmp_path / "c"), "csv")
+    for got in (U.read_labelled_csv(spark, str(tmp_path / "c")), U.read_wide_csv(spark, str(tmp_path / "c"), "url string, label int")):
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
+    hand = tmp_path / "h.csv"
+    hand.write_text('FILENAME,URL,label\nx,"http://a.com/?q=""x"",y",1\ny,"http://b.com/\\",0\n')
+    assert sorted(map(tuple, U.read_labelled_csv(spark, str(hand)).collect())) == [
+        ('http://a.com/?q="x",y', 1), ("http://b.com/\\", 0)]
+
+
+def test_split_with_null_labels(spark):
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else i % 2) for i in range(301)], "url_id long, label int")
+    n = {(r.label, r.split): r["count"] for r in P.stratified_split(rows).groupBy("label", "split").count().collect()}
+    assert sum(v for (_, s), v in n.items() if s == "test") == 61
+    assert all(abs(n[(c, "test")] / (n[(c, "test")] + n[(c, "train")]) - 0.2) < 0.02 for c in (None, 0, 1))
+    folds = P.stratified_folds(rows, 5).groupBy("label", "fold").count().collect()
+    assert len(folds) == 15 and all(19 <= r["count"] <= 21 for r in folds)
+
+
+def test_ranks_in_cells_that_are_cut_again(spark, monkeypatch):
+    from lurewatch.functions import ordered
+    rows = spark.range(5000).select(F.col("id").alias("url_id"), (F.col("id") % 2).cast("int").alias("label"))
+    whole = P.held_out(rows)
+    monkeypatch.setattr(ordered, "CELL_ROWS", 0)
+    cut = P.held_out(rows)
+    assert rows.where(whole).exceptAll(rows.where(cut)).count() == 0 == rows.where(cut).exceptAll(rows.where(whole)).count()
+
+
+def test_recent_scans_fail_when_their_state_is_lost(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "SAFE", 0.1)], "event_id bigint, url string, verdict string, score double").withColumn(
+        "ts", F.current_timestamp())
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        J.recent_scans_sink(str(tmp_path / "r"))(df, 3)
+    J.recent_scans_sink(str(tmp_path / "e"))(df.limit(0), 0)
+    J.recent_scans_sink(str(tmp_path / "e"))(df, 1)
+    assert spark.read.parquet(str(tmp_path / "e" / "1")).count() == 1
+
+
+def test_fixed_lists_are_as_they_were():
+    import hashlib
+    from lurewatch.fixed import rules, texts, words
+    for module, digest in FIXED.items():
+        found = {"rules": rules, "texts": texts, "words": words}[module]
+        values = {k: v for k, v in vars(found).items() if k.isupper() and isinstance(v, (list, dict, str, int, float, tuple))}
+        assert hashlib.sha256(repr(sorted(values.items())).encode()).hexdigest()[:16] == digest, module
 
 
 def test_recent_scans_over_several_batches(spark, tmp_path):
