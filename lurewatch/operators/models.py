@@ -104,11 +104,16 @@ def random_baseline(test: DataFrame, train: DataFrame, key: str = "url_id", seed
 
 
 def feature_importance(boosted: PipelineModel, forest: PipelineModel, spark: SparkSession) -> DataFrame:
-    """feature, boosted and forest importance with ranks; 24 rows."""
-    b, f = (m.stages[-1].featureImportances.toArray() for m in (boosted, forest))
-    rows = sorted(zip(FEATURES, map(float, b), map(float, f)), key=lambda r: (-r[1], r[0]))
-    return spark.createDataFrame([(i + 1, *r) for i, r in enumerate(rows)],
-                                 "rank int, feature string, boosted_importance double, forest_importance double")
+    """feature, boosted and forest importance and the rank by each; 24 rows. A top list is a condition on a rank."""
+    b, f = (list(map(float, m.stages[-1].featureImportances.toArray())) for m in (boosted, forest))
+
+    def ranks(values: list[float]) -> dict[int, int]:
+        return {i: n + 1 for n, i in enumerate(sorted(range(len(values)), key=lambda i: (-values[i], FEATURES[i])))}
+
+    by_b, by_f = ranks(b), ranks(f)
+    return spark.createDataFrame(
+        [(x, b[i], f[i], by_b[i], by_f[i]) for i, x in enumerate(FEATURES)],
+        "feature string, boosted_importance double, forest_importance double, boosted_rank int, forest_rank int")
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -188,13 +193,22 @@ def learning_curve(train: DataFrame, kind: str = "boosted", params: dict | None
         gap < limit, "No overfitting").otherwise("Possible overfit")).alias("conclusion"))
 
 
-def training_summary(train: DataFrame, test: DataFrame, model: PipelineModel, name: str, seconds: float) -> DataFrame:
-    """Sizes, feature count, time and settings of one training run as metric rows."""
+def fitting_table(train: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
+    """``train`` cached in parts of even size: a learner passes over it once per tree level."""
+    parts = -(-train.count() // rows_per_task) or 1
+    return train.repartition(parts, "url_id").cache()
+
+
+def training_summary(train: DataFrame, test: DataFrame, model: PipelineModel, name: str,
+                     seconds: float | None = None) -> DataFrame:
+    """Sizes, feature count and settings of one training run as metric rows, with its time where given."""
     learner = model.stages[-1]
     settings = {p.name: str(learner.getOrDefault(p)) for p in learner.params if learner.isDefined(p)
                 and p.name in {*BOOST_PARAMS, *FOREST_PARAMS, "seed", "maxBins"}}
     sizes = train.agg(F.count(F.lit(1)).alias("train_size"), F.lit(test.count()).alias("test_size"))
-    values = {"features": str(len(FEATURES)), "train_seconds": f"{seconds:.2f}", **settings}
+    values = {"features": str(len(FEATURES)), **settings}
+    if seconds is not None:
+        values["train_seconds"] = f"{seconds:.2f}"
     rows = F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).cast("string").alias("value"))
                      for k in ("train_size", "test_size")],
                    *[F.struct(F.lit(k).alias("metric"), F.lit(v).alias("value")) for k, v in values.items()])

@@ -662,3 +662,19 @@ O["recent_scans"] = O["stream_recent_scans"] = sql("SELECT ts, event_id, substr(
 @cache
 def all_oracles() -> dict[str, str]:
     return dict(ORACLES)
+
+# ---- trained models: what any well-behaved fit must give ------------------------------------
+
+O["gbt_scores"] = O["rf_scores"] = sql("SELECT url_id, label, true AS is_probability, true AS accurate FROM split2 WHERE split='test'")
+O["lr_baseline"] = sql("SELECT 'logistic' AS model, unnest(['accuracy','precision','recall','f1','mcc','roc_auc']) AS metric, true AS far_above_chance")
+O["feature_importance"] = sql(f"""SELECT unnest({lst(words.FEATURES)}) AS feature, true AS boosted_ok, true AS forest_ok, 1.0::DOUBLE AS boosted_total,
+  1.0::DOUBLE AS forest_total, true AS boosted_ranks_complete, true AS forest_ranks_complete""")
+O["attribution_topk"] = sql("SELECT url_id, unnest(range(1, 13))::INTEGER AS rank, true AS adds_up, true AS value_ok FROM split2 WHERE split='test'")
+O["model_roundtrip"] = sql("SELECT url_id, label, true AS same FROM split2 WHERE split='test'")
+O["training_summary"] = sql("""SELECT 'forest' AS model, 'train_size' AS metric, count(*)::VARCHAR AS value FROM split2 WHERE split='train'
+  UNION ALL SELECT 'forest', 'test_size', count(*)::VARCHAR FROM split2 WHERE split='test'
+  UNION ALL SELECT 'forest', m, v FROM (VALUES ('features','24'), ('numTrees','300'), ('maxDepth','20'), ('featureSubsetStrategy','sqrt'),
+    ('seed','42'), ('maxBins','128')) t(m, v)""")
+O["hybrid_score_ml"] = sql("""SELECT url_id, layer1_verdict, high AS decided_by_rules, CASE WHEN high THEN 'CRITICAL' END AS verdict,
+  CASE WHEN high THEN 1.0::DOUBLE END AS score, true AS in_range, false AS wrongly_escalated
+  FROM (SELECT *, layer1_verdict='HIGH_RISK' AS high FROM hits)""")

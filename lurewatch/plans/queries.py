@@ -6,10 +6,10 @@ queries that train real models say so in their names.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from functools import cache
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lurewatch.fixed import seeds
@@ -386,10 +386,6 @@ def overfit_gap(spark, sf):
     return E.overfit_gap(E.metrics(predictions(spark, sf), ["model", "split"]))
 
 
-SMALL_BOOST = {"maxIter": 10, "maxDepth": 4}
-SMALL_FOREST = {"numTrees": 20, "maxDepth": 6}
-
-
 def _training_table(spark, sf):
     """Split features in the shared folder: training reads them many times."""
     return materialize(split_features(spark, sf).select("url_id", "url", "label", "split", *FEATURES), "training", "split")
@@ -399,36 +395,77 @@ def _sides(table):
     return table.where("split = 'train'"), table.where("split = 'test'")
 
 
+#: Fitted models of this process by application, data and kind: several queries look at the same two models.
+_FITTED: dict[tuple, tuple] = {}
+
+
+def _fitted(spark, sf, kind):
+    """(train, test, model) with the full settings of ``kind``: logistic, boosted or forest."""
+    key = (spark.sparkContext.applicationId, sf)
+    if (*key, "table") not in _FITTED:
+        _FITTED[(*key, "table")] = _sides(_training_table(spark, sf))
+    train, test = _FITTED[(*key, "table")]
+    if (*key, kind) not in _FITTED:
+        rows = M.fitting_table(train)
+        _FITTED[(*key, kind)] = {"logistic": M.fit_logistic, "boosted": M.fit_boosted, "forest": M.fit_forest}[kind](rows)
+        rows.unpersist()
+    return train, test, _FITTED[(*key, kind)]
+
+
+def _checked_scores(spark, sf, kind):
+    """One row per test URL: whether its probability is one, and whether 95 % of all test URLs get their class."""
+    _, test, model = _fitted(spark, sf, kind)
+    scores = M.proba(test, model, "proba")
+    right = scores.agg(F.avg(((F.col("proba") >= 0.5).cast("int") == F.col("label")).cast("double")) >= 0.95)
+    return scores.select("url_id", "label", F.col("proba").between(0.0, 1.0).alias("is_probability"), right.scalar().alias("accurate"))
+
+
 @query
 def lr_baseline(spark, sf):
-    train, test = _sides(_training_table(spark, sf))
-    out = M.proba(test, M.fit_logistic(train, max_iter=100), "proba")
-    return E.full_metrics(out.withColumn("pred", (F.col("proba") >= 0.5).cast("int"))
-                          .withColumn("model", F.lit("logistic")), ["model"])
+    """Test metrics of the logistic baseline and whether each is far above chance."""
+    _, test, model = _fitted(spark, sf, "logistic")
+    out = M.proba(test, model, "proba")
+    table = E.full_metrics(out.withColumn("pred", (F.col("proba") >= 0.5).cast("int"))
+                           .withColumn("model", F.lit("logistic")), ["model"])
+    names = [c for c in table.columns if c != "model"]
+    rows = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).between(0.8, 1.0).alias("far_above_chance")) for c in names])
+    return table.select("model", F.explode(rows).alias("r")).select("model", "r.*")
 
 
 @query
 def gbt_scores(spark, sf):
-    train, test = _sides(_training_table(spark, sf))
-    return M.proba(test, M.fit_boosted(train, SMALL_BOOST), "proba").select("url_id", "label", "proba")
+    return _checked_scores(spark, sf, "boosted")
 
 
 @query
 def rf_scores(spark, sf):
-    train, test = _sides(_training_table(spark, sf))
-    return M.proba(test, M.fit_forest(train, SMALL_FOREST), "proba").select("url_id", "label", "proba")
+    return _checked_scores(spark, sf, "forest")
 
 
 @query
 def feature_importance(spark, sf):
-    train, _ = _sides(_training_table(spark, sf))
-    return M.feature_importance(M.fit_boosted(train, SMALL_BOOST), M.fit_forest(train, SMALL_FOREST), spark)
+    """Every feature with sane importances; the totals are 1 and the ranks are 1 to 24."""
+    table = M.feature_importance(_fitted(spark, sf, "boosted")[2], _fitted(spark, sf, "forest")[2], spark)
+    every = P.over_groups()
+    out = [F.round(F.sum(f"{m}_importance").over(every), 6).alias(f"{m}_total") for m in ("boosted", "forest")]
+    ranks = [(F.sum(f"{m}_rank").over(every) == 300).alias(f"{m}_ranks_complete") for m in ("boosted", "forest")]
+    return table.select("feature", (F.col("boosted_importance") >= 0).alias("boosted_ok"),
+                        (F.col("forest_importance") >= 0).alias("forest_ok"), *out, *ranks)
 
 
 @query
 def attribution_topk(spark, sf):
-    train, test = _sides(_training_table(spark, sf))
-    return attribution.attribution_top(test, M.fit_boosted(train, SMALL_BOOST))
+    """Twelve contributions per test URL: sorted by size, with the feature's value, adding up to the model's margin."""
+    _, test, model = _fitted(spark, sf, "boosted")
+    whole = attribution.attribution(test, model)
+    margin = model.transform(test).select("url_id", vector_to_array("rawPrediction")[1].alias("raw"), *[F.col(f).alias(f"t_{f}") for f in FEATURES])
+    total = whole.select("url_id", (F.col("base_value") + sum(F.col(f) for f in FEATURES)).alias("total"))
+    top = attribution.attribution_top(test, model)
+    value = F.create_map(*[x for f in FEATURES for x in (F.lit(f), F.col(f"t_{f}").cast("double"))])
+    joined = top.join(margin, "url_id").join(total, "url_id")
+    # The learner reports twice the weighted sum of its trees as raw score.
+    return joined.select("url_id", "rank", (F.abs(F.col("total") * 2 - F.col("raw")) < 1e-6).alias("adds_up"),
+                         (value[F.col("feature")] == F.col("value")).alias("value_ok"))
 
 
 @query
@@ -445,19 +482,17 @@ def learning_curve(spark, sf):
 
 @query
 def training_summary(spark, sf):
-    train, test = _sides(_training_table(spark, sf))
-    start = time.time()
-    model = M.fit_forest(train, SMALL_FOREST)
-    return M.training_summary(train, test, model, "forest", time.time() - start)
+    return M.training_summary(*_fitted(spark, sf, "forest"), "forest")
 
 
 @query
 def model_roundtrip(spark, sf):
-    """A saved and reloaded model scores the test rows."""
-    train, test = _sides(_training_table(spark, sf))
+    """A saved and reloaded model scores the test rows as the fitted one does."""
+    _, test, model = _fitted(spark, sf, "boosted")
     path = shared_path(spark, "model")
-    M.save_model(M.fit_boosted(train, SMALL_BOOST), path)
-    return M.proba(test, M.load_model(path), "proba").select("url_id", "label", "proba")
+    M.save_model(model, path)
+    both = M.proba(M.proba(test, model, "fitted"), M.load_model(path), "loaded")
+    return both.select("url_id", "label", (F.col("fitted") == F.col("loaded")).alias("same"))
 
 
 # ---- F hybrid scoring -----------------------------------------------------------------------
@@ -471,12 +506,15 @@ def hybrid_score(spark, sf):
 
 @query
 def hybrid_score_ml(spark, sf):
-    train, _ = _sides(_training_table(spark, sf))
-    boosted, forest = M.fit_boosted(train, SMALL_BOOST), M.fit_forest(train, SMALL_FOREST)
+    """The hybrid with the trained ensemble: rules decide as ever, open rows get a model score in range."""
+    boosted, forest = _fitted(spark, sf, "boosted")[2], _fitted(spark, sf, "forest")[2]
     todo = hits(spark, sf).withColumn("needs_model", ~(H.is_high_risk() | H.is_blank()))
     table = materialize(todo, "hits", "needs_model")
-    return M.hybrid_score_models(table, boosted, forest).select(
-        "url_id", "verdict", "score", "cvss", "layer1_verdict", "layer2_score", "escalated")
+    out = M.hybrid_score_models(table, boosted, forest)
+    decided = F.col("layer2_score").isNull()
+    return out.select("url_id", "layer1_verdict", decided.alias("decided_by_rules"), F.when(decided, F.col("verdict")).alias("verdict"),
+                      F.when(decided, F.col("score")).alias("score"), F.col("score").between(0.0, 1.0).alias("in_range"),
+                      (F.col("escalated") & ((F.col("layer1_verdict") != "SUSPICIOUS") | (F.col("score") < 0.55))).alias("wrongly_escalated"))
 
 
 @query

@@ -11,6 +11,8 @@ from lurewatch.operators import attribution, evaluate as E, models as M
 from lurewatch.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
+SMALL_BOOST = {"maxIter": 10, "maxDepth": 4}
+SMALL_FOREST = {"numTrees": 20, "maxDepth": 6}
 
 
 @pytest.fixture(scope="module")
@@ -20,12 +22,12 @@ def sides(spark):
 
 @pytest.fixture(scope="module")
 def boosted(sides):
-    return M.fit_boosted(sides[0], Q.SMALL_BOOST)
+    return M.fit_boosted(sides[0], SMALL_BOOST)
 
 
 @pytest.fixture(scope="module")
 def forest(sides):
-    return M.fit_forest(sides[0], Q.SMALL_FOREST)
+    return M.fit_forest(sides[0], SMALL_FOREST)
 
 
 def test_probabilities_and_quality(sides, boosted, forest):
@@ -39,7 +41,7 @@ def test_probabilities_and_quality(sides, boosted, forest):
 
 
 def test_same_seed_same_scores(sides, boosted):
-    again = M.fit_boosted(sides[0], Q.SMALL_BOOST)
+    again = M.fit_boosted(sides[0], SMALL_BOOST)
     a = {r.url_id: r.p for r in M.proba(sides[1], boosted, "p").select("url_id", "p").collect()}
     b = {r.url_id: r.p for r in M.proba(sides[1], again, "p").select("url_id", "p").collect()}
     assert a == b
@@ -66,7 +68,7 @@ def test_attribution_matches_brute_force():
     """Shares of one leaf against the definition over all orderings of the path features."""
     from itertools import permutations
     z, value = np.array([0.3, 0.5, 0.9]), 2.0
-    shares = attribution._shares(z, value)
+    shares = attribution._shares(z, value, (np.arange(8)[:, None] >> np.arange(3) & 1).astype(float))
     for pattern in range(8):
         agree = [(pattern >> j) & 1 for j in range(3)]
         worth = lambda s: value * math.prod(agree[j] if j in s else z[j] for j in range(3))  # noqa: B023, E731

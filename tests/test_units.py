@@ -229,7 +229,7 @@ def test_cache_does_not_change_features(spark):
 
 def test_suffix_table_route_equals_literal_route(spark):
     df = table(spark, seeds.CURATED_LEGITIMATE)
-    suffixes = spark.createDataFrame([(s,) for s in TLD_RISK], "suffix string")
+    suffixes = C.suffix_dimension(spark)
     a, b = C.host_parts(df, suffixes=suffixes), C.host_parts(df)
     assert a.select(b.columns).exceptAll(b).count() == 0
 
