@@ -23,8 +23,8 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Matches kept per worker process; about 150 bytes each.
-CACHED = 500_000
+#: Matches kept per worker process, in two generations of this size; about 200 bytes each.
+CACHED = 200_000
 _NONE = 1 << 62
 
 
@@ -54,38 +54,37 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         a, b = tree[2 * i], tree[2 * i + 1]
         tree[i] = a if a < b else b
     following, previous = list(range(1, n + 1)), list(range(-1, n - 1))
-
-    def put(p: int, value: int) -> None:
-        i = width + p
-        if tree[i] == value:
-            return
-        tree[i] = value
-        i >>= 1
-        while i:
-            a, b = tree[2 * i], tree[2 * i + 1]
-            low = a if a < b else b
-            if tree[i] == low:
-                return
-            tree[i] = low
-            i >>= 1
-
-    def rate(p: int) -> None:
-        middle = following[p]
-        rank = rank_of(piece[p:following[middle]]) if middle < n else None
-        put(p, _NONE if rank is None else rank * n + p)
-
-    while tree[1] != _NONE:
-        p = tree[1] % n
+    last = n - 1
+    while (low := tree[1]) != _NONE:
+        p = low % n
         gone = following[p]
-        after = following[gone]
-        following[p] = after
+        after = following[p] = following[gone]
+        before = previous[p]
+        changes = []
+        if gone < last:
+            changes.append((gone, _NONE))
         if after < n:
             previous[after] = p
-        if gone < n - 1:
-            put(gone, _NONE)
-        rate(p)
-        if previous[p] >= 0:
-            rate(previous[p])
+            rank = rank_of(piece[p:following[after]])
+            changes.append((p, _NONE if rank is None else rank * n + p))
+        else:
+            changes.append((p, _NONE))
+        if before >= 0:
+            rank = rank_of(piece[before:after])
+            changes.append((before, _NONE if rank is None else rank * n + before))
+        for position, value in changes:
+            i = width + position
+            if tree[i] == value:
+                continue
+            tree[i] = value
+            while i > 1:  # up to the root, or to where the minimum stays
+                other = tree[i ^ 1]
+                if other < value:
+                    value = other
+                i >>= 1
+                if tree[i] == value:
+                    break
+                tree[i] = value
     ids, p = [], 0
     while p < n:
         ids.append(ranks[piece[p:following[p]]])
@@ -102,17 +101,20 @@ class Codec:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def encode(self, text: str) -> list[int]:
         known, out = self.known, []
-        add = out.extend
+        add, get = out.extend, known.get
         for match in self.find(text):
-            ids = known.get(match)
+            ids = get(match)
             if ids is None:
-                ids = tuple(merge(match.encode(), self.ranks))
+                ids = self.older.get(match) or tuple(merge(match.encode(), self.ranks))
                 if len(match) <= 64:
-                    if len(known) >= CACHED:
-                        known.clear()
+                    if len(known) >= CACHED:  # what was seen lately stays, the rest goes
+                        self.older, self.known = known, {}
+                        known = self.known
+                        get = known.get
                     known[match] = ids
             add(ids)
         return out
