@@ -463,8 +463,7 @@ def attribution_topk(spark, sf):
     top = attribution.attribution_top(test, model)
     value = F.create_map(*[x for f in FEATURES for x in (F.lit(f), F.col(f"t_{f}").cast("double"))])
     joined = top.join(margin, "url_id").join(total, "url_id")
-    # The learner reports twice the weighted sum of its trees as raw score.
-    return joined.select("url_id", "rank", (F.abs(F.col("total") * 2 - F.col("raw")) < 1e-6).alias("adds_up"),
+    return joined.select("url_id", "rank", (F.abs(F.col("total") - F.col("raw")) < 1e-6).alias("adds_up"),
                          (value[F.col("feature")] == F.col("value")).alias("value_ok"))
 
 

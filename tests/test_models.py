@@ -58,9 +58,8 @@ def test_attribution_adds_up_to_the_margin(sides, boosted):
     learner = boosted.stages[-1]
     raw = {r.url_id: r.rawPrediction[1] for r in boosted.transform(sides[1]).select("url_id", "rawPrediction").collect()}
     for r in attribution.attribution(sides[1], boosted).collect():
-        # the learner reports twice the weighted sum of its trees as raw score
-        assert math.isclose(r.margin, raw[r.url_id], rel_tol=1e-6, abs_tol=1e-6) or math.isclose(
-            2 * r.margin, raw[r.url_id], rel_tol=1e-6, abs_tol=1e-6)
+        assert math.isclose(r.margin, raw[r.url_id], rel_tol=1e-9, abs_tol=1e-9)
+        assert math.isclose(r.base_value + sum(r[f] for f in FEATURES), r.margin, rel_tol=1e-9, abs_tol=1e-9)
     assert learner.getNumTrees == 10
 
 
