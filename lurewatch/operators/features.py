@@ -71,10 +71,11 @@ def _with_work_columns(df: DataFrame, url: str) -> DataFrame:
         "_decoded", F.when(F.col("_u").contains("%"), T.percent_decode(F.col("_u"))).otherwise(F.col("_u")))
 
 
-def url_features(df: DataFrame, url: str = "url", cache: DataFrame | None = None) -> DataFrame:
+def url_features(df: DataFrame, url: str = "url", cache: DataFrame | None = None, parts: tuple[str, ...] = ()) -> DataFrame:
     """Append the 24 feature columns to ``df``. No shuffle, no Python worker.
 
-    NULL and empty URLs give zeros. ``cache`` is an optional table from ``brand_distance_cache``.
+    NULL and empty URLs give zeros. ``cache`` is an optional table from ``brand_distance_cache``. ``parts`` are
+    URL parts to keep, such as ``_netloc``, so that later steps need not split the URL again.
     """
     keep = df.columns
     df = _with_work_columns(df, url)
@@ -118,7 +119,7 @@ def url_features(df: DataFrame, url: str = "url", cache: DataFrame | None = None
         "levenshtein_min": F.when(empty, 0).otherwise(distance),
         "tld_risk_score": F.when(empty, F.lit(0.0)).otherwise(_tld_risk("_lhost")),
     }
-    return df.select(*keep, *[values[name].alias(name) for name in FEATURES])
+    return df.select(*keep, *parts, *[values[name].alias(name) for name in FEATURES])
 
 
 def check_feature_columns(df: DataFrame, extra_allowed: tuple[str, ...] = ()) -> dict[str, list[str]]:

@@ -30,10 +30,12 @@ def with_trusted(df: DataFrame, url: str = "url", strict_host: bool = False) ->
     """Append ``trusted``: the host is a listed domain or a subdomain of one.
 
     The host is the text before the first ':' of the authority, user info included.
-    ``strict_host=True`` drops user info first, so ``google.com:x@evil.com`` is not trusted.
+    ``strict_host=True`` drops user info first, so ``google.com:x@evil.com`` is not trusted. Parts that
+    ``url_features`` has kept (``_host`` and ``_netloc``) are used and dropped; else the URL is split here.
     """
-    keep = df.columns
-    df = with_url_parts(df, url)
+    keep = [c for c in df.columns if c not in ("_host", "_netloc")]
+    if not {"_host", "_netloc"} <= set(df.columns):
+        df = with_url_parts(df, url)
     host = F.lower("_host")
     if strict_host:
         host = F.lower(F.substring_index(F.substring_index("_netloc", "@", -1), ":", 1))

@@ -678,3 +678,16 @@ O["training_summary"] = sql("""SELECT 'forest' AS model, 'train_size' AS metric,
 O["hybrid_score_ml"] = sql("""SELECT url_id, layer1_verdict, high AS decided_by_rules, CASE WHEN high THEN 'CRITICAL' END AS verdict,
   CASE WHEN high THEN 1.0::DOUBLE END AS score, true AS in_range, false AS wrongly_escalated
   FROM (SELECT *, layer1_verdict='HIGH_RISK' AS high FROM hits)""")
+
+# ---- stored reports and dimensions ----------------------------------------------------------
+
+O["rule_dimension"] = sql(f"""SELECT url_id, rule, rule_order, severity, techniques, description FROM (SELECT url_id, unnest(rules) AS rule FROM hits) h
+  JOIN (VALUES {",".join(f"({q(n)},{i},{q(s)},{q(','.join(t))},{q(d)})" for i, (n, s, t, d) in enumerate(RU.RULES))}) v(name, rule_order, severity, techniques, description)
+  ON h.rule = v.name""")
+O["weights_roundtrip"] = sql(f"""SELECT url_id, {rnd("w1*p1+w2*p2", 6)} AS ensemble FROM surr, (SELECT max(CASE WHEN model='boosted' THEN weight END) AS w1,
+  max(CASE WHEN model='forest' THEN weight END) AS w2 FROM (SELECT model, round(f1/sum(f1) OVER (),4) AS weight FROM testmetrics WHERE model IN ('boosted','forest')))""")
+O["nested_report_roundtrip"] = O["findings"]
+O["stored_rates"] = sql("""SELECT 'detection' AS rate, count_if(verdict<>'ERROR')::BIGINT AS n,
+  round(count_if(verdict IN ('CRITICAL','HIGH','MEDIUM'))*100.0::DOUBLE/count_if(verdict<>'ERROR'),2) AS pct FROM holdout
+  UNION ALL SELECT 'retention', count_if(detected_before)::BIGINT,
+  round(count_if(detected_before AND detected_after)*100.0::DOUBLE/count_if(detected_before),2) FROM advers""")

@@ -50,7 +50,8 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hits(spark: SparkSession, sf: str) -> DataFrame:
-    return R.rule_hits(features(spark, sf))
+    """Rule table that keeps the URL parts which scoring needs."""
+    return R.rule_hits(C.url_features(corpus(spark, sf), parts=("_host", "_netloc")))
 
 
 def _surrogate(factor: int, shift: Column | int = 0) -> Column:
@@ -145,6 +146,38 @@ def report_roundtrip(spark, sf):
     return reports.pick_item(reports.read_report(spark, path), "metrics", "ensemble")
 
 
+@query
+def weights_roundtrip(spark, sf):
+    """Ensemble weights written to a report, read back from it and used for scoring."""
+    path = shared_path(spark, "weights")
+    pred = test_predictions(spark, sf).where(F.col("model").isin("boosted", "forest"))
+    table = E.ensemble_weights(E.metrics(pred, ["model"]))
+    reports.write_report(reports.metric_rows(table, "weights", "model", ["weight"]), path)
+    weights = reports.read_weights(reports.read_report(spark, path), ["boosted", "forest"])
+    score = H.ensemble_score(F.col("p1"), F.col("p2"), weights)
+    return with_surrogates(corpus(spark, sf)).select("url_id", F.round(score, 6).alias("ensemble"))
+
+
+@query
+def nested_report_roundtrip(spark, sf):
+    """Findings written as one nested record and read back."""
+    path = shared_path(spark, "findings")
+    table = _findings(spark, sf)
+    reports.write_nested_report(table, path)
+    return _flat_findings(reports.read_nested_report(spark, path, table.schema))
+
+
+@query
+def stored_rates(spark, sf):
+    """Detection and retention rates read back from stored result files."""
+    hold, adv = shared_path(spark, "holdout"), shared_path(spark, "adversarial")
+    U.write_result(_holdout(spark, sf), hold, "csv")
+    U.write_result(_adversarial(spark, sf), adv)
+    detected = reports.detection_rate(spark.read.options(**U.CSV_READ).csv(hold))
+    kept = reports.retention_rate(spark.read.parquet(adv))
+    return detected.unionByName(kept)
+
+
 @query
 def results_summary(spark, sf):
     pred = test_predictions(spark, sf)
@@ -288,6 +321,14 @@ def rule_hits(spark, sf):
     return hits(spark, sf).select("url_id", *[f"hit_{r[0]}" for r in RULES], F.array_join("rules", ",").alias("rules"))
 
 
+@query
+def rule_dimension(spark, sf):
+    """Every hit with its row of the rule dimension."""
+    one = hits(spark, sf).select("url_id", F.explode("rules").alias("rule"))
+    return one.join(R.rule_dimension(spark), "rule").select(
+        "url_id", "rule", "rule_order", "severity", F.array_join("techniques", ",").alias("techniques"), "description")
+
+
 @query
 def rule_techniques(spark, sf):
     return hits(spark, sf).select("url_id", F.array_join("techniques", ",").alias("techniques"))
@@ -831,11 +872,13 @@ def subdomain_crosstab(spark, sf):
     return X.row_shares(_hosts(spark, sf), "subdomain_count")
 
 
-@query
-def findings(spark, sf):
+def _findings(spark, sf):
     rows = C.char_profile(_hosts(spark, sf)).withColumns({
         "url_length": F.length("url"), "has_https": F.lower("url").startswith("https://").cast("int")})
-    f = X.findings(rows)
+    return X.findings(rows)
+
+
+def _flat_findings(f):
     return f.select(
         "total_rows", "duplicates", "class_distribution.*",
         F.col("url_length_stats.phishing_mean").alias("phishing_length_mean"),
@@ -850,6 +893,11 @@ def findings(spark, sf):
         F.col("char_ratios.legitimate.alpha_ratio").alias("legitimate_alpha_ratio"), "subdomain_patterns.*")
 
 
+@query
+def findings(spark, sf):
+    return _flat_findings(_findings(spark, sf))
+
+
 @query
 def feature_means(spark, sf):
     return X.feature_means(features(spark, sf))

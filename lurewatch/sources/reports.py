@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lurewatch.fixed.rules import DETECTED_VERDICTS
+
 REPORT_SCHEMA = "section string, item string, metric string, value double"
 
 
@@ -35,5 +37,28 @@ def pick_item(report: DataFrame, section: str, item: str) -> DataFrame:
     return report.where((F.col("section") == section) & (F.col("item") == item))
 
 
+def read_nested_report(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+def read_weights(report: DataFrame, models: list[str], section: str = "weights") -> tuple[float, ...]:
+    """The stored weight of each model, in the order of ``models``; a missing one is an error."""
+    found = {r["item"]: r["value"] for r in report.where(
+        (F.col("section") == section) & (F.col("metric") == "weight") & F.col("item").isin(models)).collect()}
+    return tuple(found[m] for m in models)
+
+
+def detection_rate(results: DataFrame) -> DataFrame:
+    """Share of stored hold-out results without error that carry a detecting verdict."""
+    valid, found = F.count_if(F.col("verdict") != "ERROR"), F.count_if(F.col("verdict").isin(DETECTED_VERDICTS))
+    return results.agg(valid.alias("n"), F.round(found * 100.0 / valid, 2).alias("pct")).select(F.lit("detection").alias("rate"), "n", "pct")
+
+
+def retention_rate(results: DataFrame) -> DataFrame:
+    """Share of stored variants of detected URLs that are still detected."""
+    before, after = F.count_if("detected_before"), F.count_if(F.col("detected_before") & F.col("detected_after"))
+    return results.agg(before.alias("n"), F.round(after * 100.0 / before, 2).alias("pct")).select(F.lit("retention").alias("rate"), "n", "pct")
+
+
 def results_summary(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
