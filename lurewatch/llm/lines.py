@@ -191,7 +191,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, keep: str = "none", doc_id:
     """``_row`` (the input row as a struct), ``n_lines``, ``n_dropped`` and ``kept``, the text that stays."""
     bitmaps = keep_bitmaps(dropped_lines(docs, min_docs, keep, doc_id, text))
     bitmaps = materialize(bitmaps, "line-bitmaps").toDF("_doc", "_txt", "_keep")
-    joined = keyed(docs, doc_id, text).join(bitmaps, ["_doc", "_txt"], "left")
+    # How many documents lose lines has no bound: always a sort-merge join, also where the planner would broadcast.
+    joined = keyed(docs, doc_id, text).join(bitmaps.hint("merge"), ["_doc", "_txt"], "left")
     apply = F.pandas_udf(_apply, "n_lines long, n_dropped long, kept string")
     return joined.select("_row", apply("_text", "_keep").alias("_a")).select("_row", "_a.*")
 
