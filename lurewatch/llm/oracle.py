@@ -23,7 +23,7 @@ m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words,
 b AS (SELECT *, CASE WHEN n_words < 10 THEN 1 ELSE 0 END
               + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
               + CASE WHEN 100 * n_symbols > 7 * word_chars THEN 4 ELSE 0 END
-              + CASE WHEN 100 * n_dup_lines > 30 * n_text_lines THEN 8 ELSE 0 END
+              + CASE WHEN n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_text_lines THEN 8 ELSE 0 END
               + CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 16 ELSE 0 END
               + CASE WHEN 4 * n_ex > n_words THEN 32 ELSE 0 END AS bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed,

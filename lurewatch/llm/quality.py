@@ -22,7 +22,7 @@ RULES: dict[str, str] = {
     "few_words": "n_words < 10",
     "repeated_words": "100 * n_repeat_words > 20 * n_words",
     "symbols": "100 * n_symbols > 7 * word_chars",
-    "duplicate_lines": "100 * n_dup_lines > 30 * n_text_lines",
+    "duplicate_lines": "n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_text_lines",
     "word_length": "word_chars < 2 * n_words OR word_chars > 20 * n_words",
     "exclamations": "4 * n_exclamations > n_words",
 }
