@@ -46,10 +46,21 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: short lineage that survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: short lineage that survives lost executors.
+
+    The table stays until ``release`` gets it; a loop releases each round's tables when the next is written.
+    """
     path = shared_path(df.sparkSession, name)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned and that nothing will read any more."""
+    for table in tables:
+        remove(table.sparkSession, table.stored_at)
