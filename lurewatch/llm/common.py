@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lurewatch.workspace import materialize, shared_path
+from lurewatch.workspace import materialize, release, shared_path
 
-__all__ = ["barrier", "fresh", "ids_of", "materialize", "shared_path", "spaced", "string_of", "words_of"]
+__all__ = ["barrier", "fresh", "ids_of", "materialize", "release", "shared_path", "spaced", "string_of", "words_of"]
 
 #: Characters that separate words: space and the five controls 09 to 0D.
 SPACES = " \t\n\x0b\x0c\r"

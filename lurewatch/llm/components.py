@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lurewatch.llm.common import materialize
+from lurewatch.llm.common import materialize, release
 
 
 def _minimum(edges: DataFrame, with_self: bool) -> DataFrame:
@@ -27,12 +27,16 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_minimum(both, True), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = _minimum(both, True)
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.distinct(), "large-star")
-        small = large.join(_minimum(large, False), "u")
-        edges = materialize(small.select(F.explode(F.array(
+        parent = _minimum(large, False)
+        small = large.join(parent, "u")
+        starred = materialize(small.select(F.explode(F.array(
             F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.*").where("u <> v").distinct(), "small-star")
+        release(edges, least, large, parent)
+        edges = starred
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

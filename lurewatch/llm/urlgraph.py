@@ -23,7 +23,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lurewatch.llm.common import barrier, materialize
+from lurewatch.llm.common import barrier, materialize, release
 
 DAMPING = 0.85
 TOLERANCE = 1e-6
@@ -96,7 +96,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING) -> D
         total = now
         moved = ranks.withColumnRenamed("host", "src").join(steps, ["kind", "src"]).select(
             "kind", F.col("dst").alias("host"), (F.col("score") * F.col("p") * damping).alias("score"))
-        ranks = materialize(moved.unionByName(start).groupBy("kind", "host").agg(F.sum("score").alias("score")), "host-ranks")
+        before, ranks = ranks, materialize(moved.unionByName(start).groupBy("kind", "host").agg(F.sum("score").alias("score")), "host-ranks")
+        if before is not start:
+            release(before)
     sums = ranks.groupBy("kind").agg(F.sum("score").alias("_all"))  # one row per kind
     return ranks.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("score") / F.col("_all")).alias("score"))
 
