@@ -10,7 +10,7 @@ from lurewatch.workspace import path_exists
 # field is null while a quoted empty one is an empty text.
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true", "nullValue": "", "emptyValue": '""',
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-CSV_READ = CSV_OPTIONS | {"emptyValue": ""}
+CSV_READ = CSV_OPTIONS | {"emptyValue": "", "nullValue": "\x01"}  # what the parser puts in place of an empty field
 
 
 def read_labelled_csv(spark: SparkSession, path: str, url: str = "URL", label: str = "label",
