@@ -61,4 +61,16 @@ SELECT d.page_id, payload_bytes, payload_digest,
 FROM d JOIN b ON b.page_id = d.page_id
 """
 
-ORACLES: dict[str, str] = {"op2_warc_archive": OP2, "op6_quality_ledger": OP6, "op7_line_dedup": OP7}
+OP1 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+n AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE label IS NOT NULL AND e IS NOT NULL),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+          WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+k AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(k.n_links, 0)::BIGINT AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c ON c.a = v.vec_id LEFT JOIN k ON k.a = v.vec_id
+"""
+
+ORACLES: dict[str, str] = {"op1_embedding_near_dup": OP1, "op2_warc_archive": OP2, "op6_quality_ledger": OP6, "op7_line_dedup": OP7}
