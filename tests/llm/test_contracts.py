@@ -487,3 +487,14 @@ def test_pipeline_stage_by_stage(spark):
     assert out and {r.doc_id for r in out} <= set(kept)
     tokenizer = bpe.Codec(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
     assert all(hashlib.sha256(tokenizer.decode(r.ids)).hexdigest() == r.decoded_sha256 for r in out)
+
+
+def test_pipeline_keeps_one_of_many_copies(spark):
+    copy = "\n".join(f"the {w} line of a clean text that many documents hold" for w in ("first", "second", "third"))
+    rows = [(i, copy, "en", "s", len(copy)) for i in range(5, 17)] + [(i, f"own text number {i} of one document", "en", "s", 35) for i in (1, 30)]
+    out = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    for stage in (corpus_pipeline.line_dedup, corpus_pipeline.near_dedup):
+        out = stage(spark, out, SF)
+    got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
+    assert [k for k, v in got.items() if v[0] == copy] == [5] and got[5][1] == len(copy)
+    assert sorted(v[0] for k, v in got.items() if k != 5) == ["", rows[12][1], rows[13][1]]
