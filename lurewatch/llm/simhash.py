@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lurewatch.llm.blocks import block_pairs, forest, grouped, linked_pairs, starts, whole_groups
 from lurewatch.llm.common import ids_of, materialize
@@ -109,25 +109,39 @@ def links(fingerprints: DataFrame, max_bits: int = 2) -> DataFrame:
     return blocks.select("key", "_i", "_j", "_side", "fp").mapInArrow(_forest_of(max_bits), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp (signed long), component_id: one row per document."""
+def _groups(docs: DataFrame, max_bits: int, doc_id: str, text: str, **extra: Column) -> DataFrame:
+    """doc_id, fp, the ``extra`` columns, root (one fingerprint per component) and component_id, one row per document."""
     compute = F.pandas_udf(_fingerprints, "long")
-    rows = materialize(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), compute(F.col(f"`{text}`")).alias("fp")),
-                       "fingerprints")
+    rows = materialize(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), compute(F.col(f"`{text}`")).alias("fp"),
+                                   *[c.alias(k) for k, c in extra.items()]), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
     members = materialize(components(links(nodes.select("fp"), max_bits), "a", "b").toDF("fp", "root"), "members")
     smallest = materialize(members.join(nodes, "fp").groupBy("root").agg(F.min("least").alias("component")), "roots")
-    known = members.join(smallest, "root").select("fp", "component")
+    known = members.join(smallest, "root").select("fp", "root", "component")
     lookup = materialize(nodes.join(known, "fp", "left").select(
-        "fp", F.coalesce("component", "least").alias("component_id")), "fingerprint-components")
-    return rows.join(lookup, "fp").select("doc_id", "fp", "component_id")
+        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component_id")),
+        "fingerprint-components")
+    return rows.join(lookup, "fp")
+
+
+def near_duplicates(docs: DataFrame, max_bits: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, fp (signed long), component_id: one row per document."""
+    return _groups(docs, max_bits, doc_id, text).select("doc_id", "fp", "component_id")
+
+
+def leaders(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each root of ``groups`` (doc_id, txt, root): the smallest id, nulls last, then the smallest
+    text hash ``txt``. Rows are found by id and text hash; of rows that repeat both, one stays."""
+    order = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "txt")
+    first = groups.groupBy("root").agg(F.min(order).alias("_first"))
+    lead = first.select(ids_of("_first.doc_id").alias("_key"), F.col("_first.txt").alias("_txt"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                        ids_of(f"`{doc_id}`").alias("_key"), F.xxhash64(F.col(f"`{text}`")).alias("_txt"))
+    found = whole.join(lead, ["_key", "_txt"], "left_semi")
+    return found.groupBy("_key", "_txt").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row.*")
 
 
 def representatives(docs: DataFrame, max_bits: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that lead their component: those whose id is the component's id. Repeated rows of such
-    a document are reduced to one, as are documents without any id."""
-    rows = near_duplicates(docs, max_bits, doc_id, text)
-    lead = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(ids_of("doc_id").alias("_key")).distinct()
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), ids_of(f"`{doc_id}`").alias("_key"))
-    one = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("_row")))
-    return whole.join(lead, "_key", "left_semi").withColumn("_n", one).where("_n = 1").select("_row.*")
+    """The documents that lead their component, see ``leaders``."""
+    groups = _groups(docs, max_bits, doc_id, text, txt=F.xxhash64(F.col(f"`{text}`")))
+    return leaders(docs, groups, doc_id, text)

@@ -155,6 +155,15 @@ def test_simhash_fingerprints(docs, empty):
     assert simhash.representatives(empty).count() == 0
 
 
+def test_one_representative_per_component(spark):
+    text = [" ".join(f"{w}{i}" for i in range(40)) for w in "abcdef"]
+    rows = [(None, text[0], 1), (None, text[1], 1), (None, text[1], 2), (None, text[2], 1), (4, text[2], 1), (4, text[3], 1),
+            (4, text[4], 1), (9, text[4], 1), (None, text[4], 1), (5, text[5], 1), (5, text[5], 1), (7, None, 1), (None, "", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, other int").repartition(5)
+    got = sorted(((r.doc_id, r.text) for r in simhash.representatives(df).collect()), key=str)
+    assert got == sorted([(None, text[0]), (None, text[1]), (4, text[2]), (4, text[3]), (4, text[4]), (5, text[5]), (7, None)], key=str)
+
+
 def test_simhash_links_are_exact(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2 ** 63, 40, dtype=np.uint64)
