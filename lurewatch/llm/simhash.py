@@ -34,19 +34,25 @@ SEED = 42
 PIVOTS = 16
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The fingerprint of one text as a signed 64-bit number."""
+def shingle_digests(text: str | None, width: int) -> bytes:
+    """The hashes of the shingles of ``width`` words, in order; none for a text without words."""
     words = (text or "").encode().lower().split()  # on bytes: A-Z and the six ASCII separators only
     if not words:
-        return 0
+        return b""
     joined = b" ".join(words)
     ends = list(accumulate((len(w) + 1 for w in words)))
     begins = [0, *ends[:-1]]
     digest = xxhash.xxh64_digest
     if len(words) < width:
-        hashes = digest(joined, SEED)
-    else:
-        hashes = b"".join([digest(joined[s:e - 1], SEED) for s, e in zip(begins, ends[width - 1:])])
+        return digest(joined, SEED)
+    return b"".join([digest(joined[s:e - 1], SEED) for s, e in zip(begins, ends[width - 1:])])
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The fingerprint of one text as a signed 64-bit number."""
+    hashes = shingle_digests(text, width)
+    if not hashes:
+        return 0
     ones = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes) // 8).view(">i8")[0])
 

@@ -11,7 +11,7 @@ import xxhash
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lurewatch.llm import bpe, langid, lines, mixing, neardup, quality, sharding, simhash, urlgraph, warc
+from lurewatch.llm import bpe, langid, lines, mixing, neardup, overlap, quality, sharding, simhash, urlgraph, warc
 from lurewatch.llm import queries as Q
 import corpus_pipeline
 
@@ -498,6 +498,63 @@ def test_pipeline_stage_by_stage(spark):
     assert all(hashlib.sha256(tokenizer.decode(r.ids)).hexdigest() == r.decoded_sha256 for r in out)
 
 
+def jaccard_groups(texts):
+    """Brute force: the smallest position in the group of each text, linked from a similarity of 0.8 on."""
+    sets = []
+    for t in texts:
+        ws = (t or "").encode().lower().split()
+        sets.append({b" ".join(ws[i:i + 5]) for i in range(max(1, len(ws) - 4))})
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if root[i] != root[j] and 5 * len(a & b) >= 4 * len(a | b):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def test_near_copies_like_brute_force(spark):
+    rng = np.random.default_rng(11)
+    texts = [None, "", " \n", "A b", "a  B", "a b c", LONG]
+    for g in range(30):
+        base = [f"w{g}x{k}" for k in rng.integers(0, 400, rng.integers(20, 200))]
+        for edits in (0, 0, 1, 1, 2, 3, 6, *([1] * 90 if g == 0 else [])):
+            copy = list(base)
+            for at in rng.choice(len(base), min(edits, len(base)), replace=False):
+                copy[at] = f"edit{rng.integers(10 ** 9)}"
+            texts.append(" ".join(copy))
+    exp = jaccard_groups(texts)
+    ids = list(range(len(texts)))
+    df = spark.createDataFrame([(i, t) for i, t in zip(ids, texts)] + [(3, texts[3])], "doc_id long, text string").repartition(5)
+    root = {}
+    for r in overlap.groups(df).collect():
+        root.setdefault(r.root, set()).add(r.doc_id)
+    assert sorted(map(sorted, root.values())) == sorted(sorted(i for i in ids if exp[i] == e) for e in set(exp))
+    out = corpus_pipeline.near_dedup(spark, df, SF).collect()
+    assert sorted(r.doc_id for r in out) == sorted(set(exp))
+    assert len(set(exp)) < len({simhash.fingerprint(t, 3) for t in texts}) - 20  # far more than near-exact copies
+
+
+def test_open_buckets_are_compared_pair_by_pair():
+    sets = [np.unique(np.array(s, np.uint64)) for s in ([*range(10)], [*range(20, 30)], [*range(1, 11)], [*range(20, 31)], [])]
+    assert overlap.connect(sets, np.full(5, 2), np.arange(5), 80) == [(0, 2), (1, 3)]
+    assert overlap.connect(sets, np.full(5, 2), np.array([7, 1, 7, 3, 4]), 80) == [(1, 3)]
+    assert overlap.connect(sets, np.array([0, 0, 1, 0, 1]), np.arange(5), 80) == [(0, 2)]
+    rng = np.random.default_rng(2)
+    many = [np.unique(rng.integers(0, 60, 50).astype(np.uint64)) for _ in range(80)]
+    pairs = overlap.connect(many, np.full(80, 2), np.arange(80), 50)
+    root = list(range(80))
+    for a, b in pairs:
+        root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    exp = list(range(80))
+    for i in range(80):
+        for j in range(i):
+            a, b = set(many[i].tolist()), set(many[j].tolist())
+            if exp[i] != exp[j] and 2 * len(a & b) >= len(a | b):
+                exp = [min(exp[i], exp[j]) if r in (exp[i], exp[j]) else r for r in exp]
+    assert root == exp and pairs
+
+
 def test_pipeline_keeps_one_of_many_copies(spark):
     copy = "\n".join(f"the {w} line of a clean text that many documents hold" for w in ("first", "second", "third"))
     rows = [(i, copy, "en", "s", len(copy)) for i in range(5, 17)] + [(i, f"own text number {i} of one document", "en", "s", 35) for i in (1, 30)]
