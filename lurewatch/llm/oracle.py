@@ -73,4 +73,25 @@ SELECT v.vec_id, coalesce(k.n_links, 0)::BIGINT AS n_links, c.component_id, v.ve
 FROM v JOIN c ON c.a = v.vec_id LEFT JOIN k ON k.a = v.vec_id
 """
 
-ORACLES: dict[str, str] = {"op1_embedding_near_dup": OP1, "op2_warc_archive": OP2, "op6_quality_ledger": OP6, "op7_line_dedup": OP7}
+_PLAIN = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all({_PLAIN.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_PLAIN.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+win AS MATERIALIZED (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(list_slice(ws, i, i + least(len(ws), 10) - 1), ' ') AS w
+        FROM b, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS u(i) WHERE len(ws) > 0),
+sizes AS (SELECT DISTINCT n FROM win),
+dw AS (SELECT r, i, n, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS w
+       FROM d, sizes, unnest(range(1, len(ws) - n + 2)) AS u(i)),
+hit AS MATERIALIZED (SELECT DISTINCT r, i, dw.n, item_id FROM dw JOIN win ON win.w = dw.w AND win.n = dw.n),
+nh AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM hit, unnest(range(0, n)) AS u(k) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS l
+        FROM (SELECT DISTINCT r, item_id FROM hit WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN nh ON nh.r = d.r LEFT JOIN its ON its.r = d.r
+"""
+
+ORACLES: dict[str, str] = {"op1_embedding_near_dup": OP1, "op2_warc_archive": OP2, "op6_quality_ledger": OP6, "op7_line_dedup": OP7,
+                           "op11_winnowing": OP11}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lurewatch.llm import bpe, langid, lines, mixing, neardup, quality, sharding, simhash, urlgraph, warc
+from lurewatch.llm import bpe, langid, lines, mixing, neardup, quality, sharding, simhash, urlgraph, warc, winnow
 from lurewatch.llm.common import string_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +91,10 @@ def op4_language_by_compression(spark, sf):
     model = langid.fit(docs.where(langid.fold("doc_id") != 1))
     held_out = F.coalesce(langid.fold("doc_id") == 1, F.lit(False)).alias("held_out")
     return langid.identified(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score", "accepted")
+
+
+@query
+def op11_winnowing(spark, sf):
+    rows = winnow.decontaminated(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"), window=10)
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                       (F.col("n_hit") > 0).alias("contaminated"))
