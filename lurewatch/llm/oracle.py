@@ -93,5 +93,27 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN nh ON nh.r = d.r LEFT JOIN its ON its.r = d.r
 """
 
+OP12 = rf"""
+WITH RECURSIVE crc(t) AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i)
+                          FROM range(256) AS u(i)),
+runs AS (SELECT doc_id, unnest(regexp_extract_all({_PLAIN.format("text")}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+many AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS x, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+bytes AS (SELECT run, n, flatten(list_transform(string_split(x, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT]
+          ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END)) AS b FROM many),
+hashed AS (SELECT run, n, xor(list_reduce(b, lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]), 4294967295), 4294967295) AS h FROM bytes, crc),
+typed AS (SELECT CASE WHEN h % 199 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM typed WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS MATERIALIZED (SELECT word, i, substring(word, 1, i - 1) AS a, substring(word, i + 1) AS z FROM words, unnest(range(1, length(word) + 1)) AS u(i)),
+near AS MATERIALIZED (SELECT x.word AS word, y.word AS other FROM cut x JOIN cut y ON x.i = y.i AND x.a = y.a AND x.z = y.z AND x.word <> y.word
+         UNION SELECT cut.word, words.word FROM cut JOIN words ON words.word = a || z
+         UNION SELECT words.word, cut.word FROM cut JOIN words ON words.word = a || z),
+best AS (SELECT near.word, count(*) AS n_near, arg_min(o.word, (-o.n, o.word)) AS other, max(o.n) AS n FROM near JOIN words o ON o.word = near.other GROUP BY near.word),
+forms AS MATERIALIZED (SELECT words.word, words.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best.n >= 5 * words.n THEN other END AS form,
+          CASE WHEN best.n >= 5 * words.n THEN best.n END::BIGINT AS form_n FROM words LEFT JOIN best ON best.word = words.word),
+chain(word, tail) AS (SELECT word, word FROM forms UNION ALL SELECT chain.word, forms.form FROM chain JOIN forms ON forms.word = chain.tail WHERE form IS NOT NULL),
+ends AS (SELECT chain.word, chain.tail AS root FROM chain JOIN forms ON forms.word = chain.tail WHERE form IS NULL)
+SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN ends ON ends.word = forms.word
+"""
+
 ORACLES: dict[str, str] = {"op1_embedding_near_dup": OP1, "op2_warc_archive": OP2, "op6_quality_ledger": OP6, "op7_line_dedup": OP7,
-                           "op11_winnowing": OP11}
+                           "op11_winnowing": OP11, "op12_spelling_variants": OP12}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lurewatch.llm import bpe, langid, lines, mixing, neardup, quality, sharding, simhash, urlgraph, warc, winnow
+from lurewatch.llm import bpe, langid, lines, mixing, neardup, quality, sharding, simhash, spelling, urlgraph, warc, winnow
 from lurewatch.llm.common import string_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +98,9 @@ def op11_winnowing(spark, sf):
     rows = winnow.decontaminated(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"), window=10)
     return rows.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op12_spelling_variants(spark, sf):
+    rows = spelling.grouped_spellings(table(spark, sf, "documents"), min_length=6, min_count=5, ratio=5, typo_every=199)
+    return rows.select("word", "form", "root", "n", "n_near", "form_n")
