@@ -115,5 +115,24 @@ ends AS (SELECT chain.word, chain.tail AS root FROM chain JOIN forms ON forms.wo
 SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN ends ON ends.word = forms.word
 """
 
+OP13 = rf"""
+WITH pieces AS MATERIALIZED (SELECT lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_PLAIN.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+total AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM pieces GROUP BY lang),
+grams AS MATERIALIZED (SELECT lang, m, array_to_string(list_slice(ws, i, i + m - 1), ' ') AS phrase, count(*) AS a
+          FROM pieces, range(1, 5) AS s(m), unnest(range(1, len(ws) - m + 2)) AS u(i) GROUP BY ALL HAVING count(*) >= 30),
+cand AS MATERIALIZED (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w FROM grams WHERE m > 1),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS f, array_to_string(w[k + 1:], ' ') AS g FROM cand, unnest(range(1, m)) AS u(k)),
+scored AS (SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, 2000000::HUGEINT * c.a // (x.a::HUGEINT + y.a) AS score
+           FROM cuts c JOIN grams x ON x.lang = c.lang AND x.phrase = f JOIN grams y ON y.lang = c.lang AND y.phrase = g),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_of AS (SELECT lang, array_to_string(w[i:i + z - 1], ' ') AS phrase, max(a) AS longer
+             FROM cand, range(2, 4) AS s(z), unnest(range(1, m - z + 2)) AS u(i) WHERE z < m GROUP BY ALL),
+kept AS (SELECT lowest.* FROM lowest LEFT JOIN inner_of o ON o.lang = lowest.lang AND o.phrase = lowest.phrase
+         WHERE NOT coalesce(100::HUGEINT * longer >= 80::HUGEINT * a, false)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN total ON total.lang = ranked.lang WHERE rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {"op1_embedding_near_dup": OP1, "op2_warc_archive": OP2, "op6_quality_ledger": OP6, "op7_line_dedup": OP7,
-                           "op11_winnowing": OP11, "op12_spelling_variants": OP12}
+                           "op11_winnowing": OP11, "op12_spelling_variants": OP12, "op13_collocations": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lurewatch.llm import bpe, langid, lines, mixing, neardup, quality, sharding, simhash, spelling, urlgraph, warc, winnow
+from lurewatch.llm import bpe, langid, lines, mixing, neardup, phrases, quality, sharding, simhash, spelling, urlgraph, warc, winnow
 from lurewatch.llm.common import string_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,3 +104,8 @@ def op11_winnowing(spark, sf):
 def op12_spelling_variants(spark, sf):
     rows = spelling.grouped_spellings(table(spark, sf, "documents"), min_length=6, min_count=5, ratio=5, typo_every=199)
     return rows.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query
+def op13_collocations(spark, sf):
+    return phrases.collocations(table(spark, sf, "documents"), min_count=30, longest=4, top=2000, scale=2_000_000, inside=80)
