@@ -33,6 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import StructType
 
 from lurewatch.llm.bitmaps import bitmap_of, bits_for, maybe
 from lurewatch.llm.common import materialize
@@ -223,7 +224,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text
     others = [c for c in docs.columns if c != text and c not in RESULTS]
     row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(None).cast("int").alias("_"))
     base = docs.select(row.alias("_row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"))
-    schema = f"_row {base.schema['_row'].dataType.simpleString()}, d1 long, d2 long, n_words long, fps {_FPS}"
+    schema = StructType([base.schema["_row"], *StructType.fromDDL("d1 long, d2 long, n_words long, fps " + _FPS).fields])
     scanned = materialize(base.mapInArrow(_document_rows(sorted(sizes), bitmap, window), schema), "document-fingerprints")
 
     # Training and test fingerprints meet; then every window around a hit that covers it.
