@@ -38,8 +38,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids per row of the mix, with digests of the ids and of the bytes that they decode to."""
     tokenizer = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    rows = bpe.tokenized(docs.select("doc_id", "source", "lang", "text"), tokenizer)
-    return bpe.with_digests(rows).drop("text", "decoded")
+    rows = bpe.tokenized(docs.select("doc_id", "source", "lang", "text"), tokenizer, keep_text=False)
+    return bpe.with_digests(rows).drop("decoded")
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near-dedup", near_dedup),

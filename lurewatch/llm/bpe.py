@@ -19,12 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-#: Matches kept per worker process, in two generations of this size; about 200 bytes each.
-CACHED = 200_000
+#: Bytes of matches and ids kept per worker process, in two generations of this size.
+CACHED = 64 << 20
+#: Bytes of text that are encoded and decoded before their rows leave the task; one longer text is taken alone.
+SLICE = 2 << 20
 _NONE = 1 << 62
 
 
@@ -102,6 +106,7 @@ class Codec:
             self.tokens[rank] = token
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
+        self.held = 0
 
     def encode(self, text: str) -> list[int]:
         known, out = self.known, []
@@ -111,8 +116,9 @@ class Codec:
             if ids is None:
                 ids = self.older.get(match) or tuple(merge(match.encode(), self.ranks))
                 if len(match) <= 64:
-                    if len(known) >= CACHED:  # what was seen lately stays, the rest goes
-                        self.older, self.known = known, {}
+                    self.held += 200 + 5 * len(match) + 8 * len(ids)  # about what an entry takes
+                    if self.held >= CACHED:  # what was seen lately stays, the rest goes
+                        self.older, self.known, self.held = known, {}, 0
                         known = self.known
                         get = known.get
                     known[match] = ids
@@ -135,22 +141,37 @@ def _codec_of(shared: Broadcast) -> Codec:
     return _CODECS[key]
 
 
+def _slices(text: pa.Array) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``SLICE`` bytes of text each."""
+    start, held = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(text), 0).to_pylist()):
+        if held and held + n > SLICE:
+            yield start, i
+            start, held = i, 0
+        held += n
+    if start < len(text):
+        yield start, len(text)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *arrays])))
+
+
 class Tokenizer:
-    """Column functions for one vocabulary; its ranks, a table of fixed size, are broadcast once."""
+    """Encoder and decoder of one vocabulary; its ranks, a table of fixed size, are broadcast once."""
 
     def __init__(self, spark, path: str, pattern: str):
         shared = spark.sparkContext.broadcast((read_ranks(path), pattern))
 
-        @F.arrow_udf("array<int>")
-        def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codec = _codec_of(shared)
-            for array in texts:
-                flat, offsets = [], np.zeros(len(array) + 1, np.int32)
-                for i, text in enumerate(array):
-                    ids = np.array(codec.encode(text.as_py() or ""), np.int32)
-                    flat.append(ids)
-                    offsets[i + 1] = offsets[i] + len(ids)
-                yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *flat])))
+            for batch in batches:
+                for a, b in _slices(batch.column(1)):
+                    part = batch.slice(a, b - a)
+                    ids = [np.array(codec.encode(t.as_py() or ""), np.int32) for t in part.column(1)]
+                    back = pa.array([codec.decode(i.tolist()) for i in ids], pa.binary())
+                    yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids), back], names=["_row", "ids", "decoded"])
 
         @F.arrow_udf("binary")
         def decode(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -158,21 +179,22 @@ class Tokenizer:
             for array in lists:
                 yield pa.array([codec.decode(ids.values.to_numpy().tolist()) for ids in array], pa.binary())
 
-        self._encode, self._decode = encode, decode
-
-    def encode(self, text: Column) -> Column:
-        """Token ids of a text column."""
-        return self._encode(text)
+        self.run, self._decode = run, decode
 
     def decode(self, ids: Column) -> Column:
         """The bytes of a column of token ids."""
         return self._decode(ids)
 
 
-def tokenized(docs: DataFrame, tokenizer: Tokenizer, text: str = "text") -> DataFrame:
-    """The documents with ``ids``, their token ids, and ``decoded``, the bytes that the ids stand for."""
-    rows = docs.drop("ids", "decoded").withColumn("ids", tokenizer.encode(F.col(f"`{text}`")))
-    return rows.withColumn("decoded", tokenizer.decode(F.col("ids")))
+def tokenized(docs: DataFrame, tokenizer: Tokenizer, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """The documents with ``ids``, their token ids, and ``decoded``, the bytes that the ids stand for. One pass encodes and
+    decodes slices of the text, so that a task holds the ids and bytes of a slice only."""
+    own = [c for c in docs.columns if c not in ("ids", "decoded") and (keep_text or c != text)]
+    row = F.struct(*[F.col(f"`{c}`") for c in own]) if own else F.struct(F.lit(None).cast("int").alias("_"))
+    rows = docs.select(row.alias("_row"), F.col(f"`{text}`").alias("_text"))
+    done = rows.mapInArrow(tokenizer.run, StructType([StructField("_row", rows.schema["_row"].dataType),
+                                                      StructField("ids", ArrayType(IntegerType())), StructField("decoded", BinaryType())]))
+    return done.select(*[F.col("_row")[c].alias(c) for c in own], "ids", "decoded")
 
 
 def with_digests(rows: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def op5_source_mix(spark, sf):
 @query
 def op3_byte_bpe(spark, sf):
     tokenizer = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    rows = bpe.tokenized(table(spark, sf, "documents").select("doc_id", "text"), tokenizer)
+    rows = bpe.tokenized(table(spark, sf, "documents").select("doc_id", "text"), tokenizer, keep_text=False)
     return bpe.with_digests(rows).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 

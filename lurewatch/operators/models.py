@@ -4,19 +4,18 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lurewatch.fixed.rules import BOOST_GRID, BOOST_PARAMS, FOREST_GRID, FOREST_PARAMS, SEED
 from lurewatch.fixed.words import FEATURES
 from lurewatch.functions.keyed import keyed_uniform
-from lurewatch.operators import evaluate, hybrid
+from lurewatch.operators import evaluate, hybrid, staged
 from lurewatch.operators.prep import over_groups, stratified_folds
 
 
@@ -134,28 +133,33 @@ def _settings(grid: dict[str, list]) -> list[dict]:
 
 
 def grid_search(train: DataFrame, kind: str = "boosted", grid: dict[str, list] | None = None, folds: int = 5,
-                parallelism: int = 4, max_bins: int = 128) -> tuple[PipelineModel, DataFrame]:
+                parallelism: int = 8, max_bins: int = 128) -> tuple[PipelineModel, DataFrame]:
     """Cross-validated search by F1 of the phishing class; (refitted best model, result table).
 
-    Folds are exact and stratified. Pass a materialised ``train``: every setting reads it again.
+    Folds are exact and stratified. Tree counts share fits, see ``staged``. Pass a materialised ``train``.
     """
     grid = grid or (BOOST_GRID if kind == "boosted" else FOREST_GRID)
-    data = with_class_weight(stratified_folds(train, folds))
-    learner = _boosted({}, max_bins) if kind == "boosted" else _forest({}, max_bins)
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(getattr(learner, name), values)
-    f1 = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0)
-    cv = CrossValidator(estimator=Pipeline(stages=[assembler(), learner]), estimatorParamMaps=builder.build(),
-                        evaluator=f1, numFolds=folds, foldCol="fold", parallelism=parallelism, seed=SEED)
-    fitted = cv.fit(data)
-    rows = [(*[str(p[getattr(learner, n)]) for n in grid], float(m), float(s))
-            for p, m, s in zip(cv.getEstimatorParamMaps(), fitted.avgMetrics, fitted.stdMetrics)]
+    data = with_class_weight(stratified_folds(train, folds)).withColumn("side", F.lit("validation"))
+    make, trees = (_boosted, "maxIter") if kind == "boosted" else (_forest, "numTrees")
+    counts = sorted(grid.get(trees, [(BOOST_PARAMS if kind == "boosted" else FOREST_PARAMS)[trees]]))
+    others = {k: v for k, v in grid.items() if k != trees}
+    cells = [(i, fold) for i in range(len(_settings(others))) for fold in range(folds)]
+
+    def fit(cell: tuple[int, int]) -> PipelineModel:
+        params = {**_settings(others)[cell[0]], trees: counts[-1]}
+        return Pipeline(stages=[assembler(), make(params, max_bins)]).fit(data.where(F.col("fold") != cell[1]))
+
+    found: dict[tuple, list[float]] = {}
+    for (i, _), _, k, score in staged.staged_scores(cells, fit, lambda c: data.where(F.col("fold") == c[1]), counts, parallelism):
+        found.setdefault((i, k), []).append(score)
+    settings = [({**_settings(others)[i], trees: k}, scores) for (i, k), scores in sorted(found.items())]
+    rows = [(*[str(p[n]) for n in grid], float(np.mean(s)), float(np.std(s))) for p, s in settings]
     schema = ", ".join(f"{n} string" for n in grid) + ", mean_score double, std_score double"
     table = train.sparkSession.createDataFrame(rows, schema)  # one row per setting
     ranked = table.select("*", F.rank().over(
         evaluate.W.partitionBy(F.lit(0)).orderBy(F.desc("mean_score"))).alias("rank"))
-    return fitted.bestModel, ranked
+    best = max(settings, key=lambda x: np.mean(x[1]))[0]
+    return Pipeline(stages=[assembler(), make(best, max_bins)]).fit(data), ranked
 
 
 def rank_of(cv_table: DataFrame, setting: dict) -> DataFrame:
@@ -166,28 +170,30 @@ def rank_of(cv_table: DataFrame, setting: dict) -> DataFrame:
 
 
 def learning_curve(train: DataFrame, kind: str = "boosted", params: dict | None = None, steps: int = 10,
-                   folds: int = 5, limit: float = 0.01, max_bins: int = 128) -> DataFrame:
+                   folds: int = 5, limit: float = 0.01, max_bins: int = 128, parallelism: int = 8) -> DataFrame:
     """Mean and deviation of train and validation F1 per training share; the last row carries the verdict.
 
-    Shares are nested hash prefixes of the training folds, so a larger share contains the smaller.
-    Pass a materialised ``train``: every cell reads it again.
+    Shares are nested hash prefixes of the training folds, so a larger share contains the smaller. A cell is a share and
+    a fold; both its sides are scored in one pass. Pass a materialised ``train``: every cell reads it again.
     """
-    fit = fit_boosted if kind == "boosted" else fit_forest
+    fit, trees = (fit_boosted, "maxIter") if kind == "boosted" else (fit_forest, "numTrees")
     data = stratified_folds(train, folds).withColumn("_u", keyed_uniform(F.col("url_id"), "curve"))
-    cells = None
-    for fold, step in itertools.product(range(folds), range(1, steps + 1)):
-        share = step / steps
-        part = data.where((F.col("fold") != fold) & (F.col("_u") < share))
-        model = fit(part.drop("_u", "fold"), params, max_bins)
-        sides = part.withColumn("side", F.lit("train")).unionByName(
-            data.where(F.col("fold") == fold).withColumn("side", F.lit("validation")))
-        scored = proba(sides, model, "proba").withColumn("pred", (F.col("proba") >= 0.5).cast("int"))
-        cell = evaluate.metrics(scored, ["side"], 12).select(
-            F.lit(share).alias("share"), F.lit(fold).alias("fold"), "side", "f1")
-        cells = cell if cells is None else cells.unionByName(cell)
-    per = cells.groupBy("share").agg(*[x for s in ("train", "validation") for x in (
-        F.round(F.avg(F.when(F.col("side") == s, F.col("f1"))), 4).alias(f"{s}_mean"),
-        F.round(F.stddev_pop(F.when(F.col("side") == s, F.col("f1"))), 4).alias(f"{s}_std"))])
+    count = {**(BOOST_PARAMS if kind == "boosted" else FOREST_PARAMS), **(params or {})}[trees]
+
+    def part(cell: tuple[int, int]):
+        return (F.col("fold") != cell[1]) & (F.col("_u") < cell[0] / steps)
+
+    def scored(cell: tuple[int, int]) -> DataFrame:
+        side = F.when(F.col("fold") == cell[1], "validation").when(part(cell), "train")
+        return data.withColumn("side", side).where("side IS NOT NULL")
+
+    cells = list(itertools.product(range(1, steps + 1), range(folds)))
+    scores = staged.staged_scores(cells, lambda c: fit(data.where(part(c)).drop("_u", "fold"), params, max_bins), scored, [count], parallelism)
+    rows = [(step / steps, fold, side, score) for (step, fold), side, _, score in scores]  # two per cell
+    per = train.sparkSession.createDataFrame(rows, "share double, fold int, side string, f1 double").groupBy("share").agg(
+        *[x for s in ("train", "validation") for x in (
+            F.round(F.avg(F.when(F.col("side") == s, F.col("f1"))), 4).alias(f"{s}_mean"),
+            F.round(F.stddev_pop(F.when(F.col("side") == s, F.col("f1"))), 4).alias(f"{s}_std"))])
     gap = F.round(F.abs(F.col("train_mean") - F.col("validation_mean")), 4)
     return per.select("*", gap.alias("gap"), F.when(F.col("share") == 1.0, F.when(
         gap < limit, "No overfitting").otherwise("Possible overfit")).alias("conclusion"))
