@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 #: Bytes of matches and ids kept per worker process, in two generations of this size.
-CACHED = 64 << 20
+CACHED = 32 << 20
 #: Bytes of text that are encoded and decoded before their rows leave the task; one longer text is taken alone.
 SLICE = 2 << 20
 _NONE = 1 << 62
@@ -108,6 +108,9 @@ class Codec:
         self.older: dict[str, tuple[int, ...]] = {}
         self.held = 0
 
+    def forget(self) -> None:
+        self.known, self.older, self.held = {}, {}, 0
+
     def encode(self, text: str) -> list[int]:
         known, out = self.known, []
         add, get = out.extend, known.get
@@ -172,6 +175,8 @@ class Tokenizer:
                     ids = [np.array(codec.encode(t.as_py() or ""), np.int32) for t in part.column(1)]
                     back = pa.array([codec.decode(i.tolist()) for i in ids], pa.binary())
                     yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids), back], names=["_row", "ids", "decoded"])
+            codec.forget()  # the worker process outlives the task
+            pa.default_memory_pool().release_unused()
 
         @F.arrow_udf("binary")
         def decode(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
