@@ -4,10 +4,12 @@
    exceeds ``max_repeat`` times its source, and what a source cannot give goes to the others by weight.
 2. ``segments``: the documents of a source, in a hashed order, are one long run of words that is packed into
    blocks of ``block`` words. A segment is the part of one document in one block.
-3. ``slots``: a source owns as many output slots as its target needs. Each slot picks an output shard at random,
-   which draws the shards' source counts from the multinomial distribution, given the sources' totals. A slot's
-   number goes through a pseudorandom permutation of the source's block numbers, one permutation per pass, so
-   no block is taken a second time before all were taken once. The last slot of a source may be cut short.
+3. ``slots``: a source owns as many slots as its target needs. The output has as many places, in shards of equal size.
+   Each place draws a source with the odds of the slots, so a shard's source counts are a multinomial draw, and they
+   decide which of a source's slots the shard holds. A source drawn more often than it has slots gives its last
+   places to those drawn less often, so that targets are met. A slot's number goes through a pseudorandom permutation
+   of the source's block numbers, one permutation per pass, so no block is taken a second time before all were taken
+   once. The last slot of a source may be cut short.
 4. Slots and segments join by (source, block).
 
 Everything is a function of hashes, so reruns and retries agree. Nothing is gathered: running totals are taken
@@ -30,6 +32,8 @@ BUCKETS = 1024
 SHARDS = 64
 ROUNDS = 24
 SEED = 17
+#: Places that one row of the plan stands for.
+RUN = 16_384
 
 
 def permuted(x: Column, n: Column, *key: Column) -> Column:
@@ -99,31 +103,75 @@ def segments(docs: DataFrame, block: int = BLOCK) -> DataFrame:
                      F.least(F.col("start") + F.col("size") - base, F.lit(block)).cast("long").alias("high"))
 
 
-def slots(sources: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
-    """source, slot, pass_no, block_no, words, shard: what the mix takes, one row per output slot.
-
-    ``sources`` has source, source_size and target. A source's slot numbers are cut into runs, so that a large
-    source is generated by many tasks.
-    """
-    run, parts = 16_384, int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _plan(sources: DataFrame, block: int) -> DataFrame:
+    """One row per source that gives words: its number, its slots and how its passes are cut."""
     df = sources.where("source_size > 0").select(
         "source", F.col("source_size").alias("_size"), F.round("target").cast("long").alias("_target"))
     df = df.withColumns({"_full": F.floor(F.col("_size") / block), "_passes": F.floor(F.col("_target") / F.col("_size")),
                          "_per": F.ceil(F.col("_size") / block)})
-    rest = F.col("_target") - F.col("_passes") * F.col("_size")
-    df = df.withColumn("_rest", rest).withColumn(
-        "_slots", F.col("_passes") * F.col("_per") + F.ceil(F.col("_rest") / block)).where("_slots > 0")
-    df = df.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_slots") - 1) / run))))
-    df = df.repartition(parts, "source", "_run").withColumn("slot", F.explode(F.sequence(
-        F.col("_run") * run, F.least(F.col("_slots"), (F.col("_run") + 1) * run) - 1)))
+    df = df.withColumn("_rest", F.col("_target") - F.col("_passes") * F.col("_size"))
+    df = df.withColumn("_slots", F.col("_passes") * F.col("_per") + F.ceil(F.col("_rest") / block)).where("_slots > 0")
+    by_name = W.orderBy(F.col("source").asc_nulls_last())
+    return df.withColumns({"_no": F.row_number().over(by_name) - 1, "_upto": F.sum("_slots").over(by_name)})
+
+
+def draws(runs: DataFrame, before: Column | None = None) -> DataFrame:
+    """_run, place, _no (and _before): every place of the output draws a source's number with the odds of the slots.
+
+    ``runs`` has _run, _n (places in all) and _upto (running sums of the sources' slots).
+    """
+    places = F.sequence(F.col("_run") * RUN, F.least(F.col("_n"), (F.col("_run") + 1) * RUN) - 1)
+    drawn = F.transform(places, lambda g: F.struct(g.alias("place"), F.size(F.filter(
+        "_upto", lambda u: u <= F.pmod(F.xxhash64(F.lit(SEED + 2), g), F.col("_n")))).alias("_no")))
+    if before is not None:
+        drawn = F.transform(drawn, lambda x: F.struct(x["place"].alias("place"), x["_no"].alias("_no"), before[x["_no"]].alias("_before")))
+    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return runs.repartition(parts, "_run").select("_run", F.inline(drawn))
+
+
+def slots(sources: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
+    """source, slot, pass_no, block_no, words, shard, place: what the mix takes, one row per output place.
+
+    ``sources`` has source, source_size and target. Places are cut into shards of equal size and into runs, so that
+    many tasks draw. The n-th place that drew a source holds its slot n; places beyond the source's slots go, in
+    order, to the slots of the sources drawn too seldom.
+    """
+    plan = materialize(_plan(sources, block), "mix-plan")
+    every = plan.agg(F.max("_upto").alias("_n"), F.sort_array(F.collect_list("_upto")).alias("_upto")).where("_n > 0")
+    runs = every.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / RUN))))
+    counts = materialize(draws(runs).groupBy("_run", "_no").agg(F.count(F.lit(1)).alias("_count")), "mix-draws")
+    earlier = W.partitionBy("_no").orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
+    begun = counts.withColumn("_before", F.coalesce(F.sum("_count").over(earlier), F.lit(0)))
+    begun = begun.groupBy("_run").agg(F.map_from_entries(F.collect_list(F.struct("_no", "_before"))).alias("_begun"))
+    drawn = counts.groupBy("_no").agg(F.sum("_count").alias("_drawn"))
+    lower = W.orderBy("_no").rowsBetween(W.unboundedPreceding, -1)
+    fix = plan.join(drawn, "_no", "left").withColumn("_drawn", F.coalesce("_drawn", F.lit(0)))
+    fix = fix.withColumns({"_over": F.greatest(F.col("_drawn") - F.col("_slots"), F.lit(0)),
+                           "_under": F.greatest(F.col("_slots") - F.col("_drawn"), F.lit(0))})
+    fix = materialize(fix.withColumns({x: F.coalesce(F.sum(c).over(lower), F.lit(0)) for x, c in (("_over0", "_over"), ("_under0", "_under"))}), "mix-counts")
+    holes = fix.where("_under > 0").agg(F.sort_array(F.collect_list(F.struct(
+        (F.col("_under0") + F.col("_under")).alias("upto"), F.col("_no").alias("no"),
+        (F.col("_drawn") - F.col("_under0")).alias("base"))))).scalar()
+    fix = materialize(fix.select("_no", "_slots", "_over0", F.when(F.col("_over") > 0, holes).alias("_holes")), "mix-fix")
+
+    rank = F.row_number().over(W.partitionBy("_run", "_no").orderBy("place")) - 1 + F.col("_before")
+    df = draws(begun.withColumns({"_n": every.select("_n").scalar(), "_upto": every.select("_upto").scalar()}), F.col("_begun"))
+    df = df.withColumn("_rank", rank).join(fix, "_no").withColumn(
+        "_at", F.when(F.col("_rank") >= F.col("_slots"), F.col("_over0") + F.col("_rank") - F.col("_slots")))
+    hole = F.when(F.col("_at").isNotNull(), F.get(F.filter("_holes", lambda h: h["upto"] > F.col("_at")), 0))
+    df = barrier(df.withColumn("_hole", hole).drop("_holes"), _hole=F.col("_hole")).select(
+        "place", F.coalesce("_hole.no", "_no").alias("_no"), F.coalesce(F.col("_hole.base") + F.col("_at"), "_rank").alias("slot"))
+    df = df.join(plan, "_no")
     df = barrier(df, slot=F.col("slot"), pass_no=F.floor(F.col("slot") / F.col("_per")), _k=F.pmod("slot", "_per"))
     # Full blocks are permuted; the short block at the end of a source keeps the last place of a pass.
     block_no = F.when(F.col("_k") >= F.col("_full"), F.col("_full")).otherwise(
         permuted(F.col("_k"), F.col("_full"), F.col("source"), F.col("pass_no")))
     whole = F.least(F.lit(block), F.col("_size") - F.col("_k") * block)
     left = F.when(F.col("pass_no") < F.col("_passes"), whole).otherwise(F.least(whole, F.col("_rest") - F.col("_k") * block))
-    shard = F.pmod(F.xxhash64(F.lit(SEED + 2), "source", "slot"), F.lit(shards)).cast("int")
-    return df.select("source", "slot", "pass_no", block_no.alias("block_no"), left.cast("long").alias("words"), shard.alias("shard"))
+    n = every.select("_n").scalar()
+    shard = F.floor(F.col("place") * shards / n)
+    return df.select("source", "slot", "pass_no", block_no.alias("block_no"), left.cast("long").alias("words"),
+                     shard.cast("int").alias("shard"), "place")
 
 
 def shard_counts(slot_table: DataFrame) -> DataFrame:
@@ -145,25 +193,28 @@ class Mix:
         self.docs = materialize(placed(sizes), "mix-documents")
         self.slots = slots(self.sources, block, shards)
         cut = segments(self.docs, block)
-        picks = self.slots.select(F.col("source").alias("_source"), F.col("block_no").alias("_no"), "shard", "slot", "pass_no", "words")
+        picks = self.slots.select(F.col("source").alias("_source"), F.col("block_no").alias("_no"), "shard", "place", "slot", "pass_no", "words")
         # The slots come out of a short table of runs, so the planner takes them for small; they are not.
         joined = cut.join(picks.hint("merge"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("block_no") == F.col("_no")))
         base = F.col("block_no") * block - F.col("start")
         #: Which words of which document a slot holds: doc_id, txt, source, start (of the document in its source),
-        #: shard, slot, pass_no, from_word, to_word.
+        #: shard, place, slot, pass_no, from_word, to_word.
         self.pieces = joined.where("low < words").select(
-            "doc_id", "txt", "source", "start", "shard", "slot", "pass_no", (base + F.col("low")).alias("from_word"),
+            "doc_id", "txt", "source", "start", "shard", "place", "slot", "pass_no", (base + F.col("low")).alias("from_word"),
             (base + F.least("high", "words")).alias("to_word"))
 
     def taken(self) -> DataFrame:
-        """doc_id, source, size, source_size, target, taken: one row per document."""
-        counts = self.pieces.groupBy("source", "start").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("_taken"))
-        counts = counts.toDF("_source", "_start", "_taken")
+        """doc_id, source, size, source_size, target, taken, n_pieces, first_shard, first_place: one row per document. The
+        first place is null where nothing is taken."""
+        counts = self.pieces.groupBy("source", "start").agg(
+            F.sum(F.col("to_word") - F.col("from_word")), F.count(F.lit(1)), F.min("shard"), F.min("place"))
+        counts = counts.toDF("_source", "_start", "_taken", "_pieces", "first_shard", "first_place")
         per_source = self.sources.toDF("_name", "source_size", "target")
         with_source = self.docs.join(per_source, F.col("source").eqNullSafe(F.col("_name")))
         same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0)
         return with_source.join(counts, same, "left").select(
-            "doc_id", "source", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+            "doc_id", "source", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"),
+            F.coalesce("_pieces", F.lit(0)).alias("n_pieces"), "first_shard", "first_place")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_repeat: int = 2,
@@ -171,19 +222,21 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     """The documents as the mix takes them, with the columns of ``docs``: one row per document and pass.
 
     A document that a pass takes whole keeps its text; of one that it takes in part, the taken words remain, joined
-    by spaces. ``length``, if ``docs`` has it, is the new text's length. Rows repeated with the same id and text
-    count as one document here; documents without words are never taken.
+    by spaces. ``length``, if ``docs`` has it, is the new text's length. Rows repeated with the same id, source
+    and text count as one document here; documents without words are never taken.
     """
     sizes = sized(docs, doc_id, text, source).distinct()
     mix = Mix(sizes, weights, share, max_repeat)
-    spans = mix.pieces.groupBy("doc_id", "txt", "pass_no").agg(
+    spans = mix.pieces.groupBy("source", "doc_id", "txt", "pass_no").agg(
         F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias("_spans"),
         F.sum(F.col("to_word") - F.col("from_word")).alias("_n"))
-    spans = materialize(spans.select(ids_of("doc_id").alias("_id"), F.col("txt").alias("_txt"), "pass_no", "_spans", "_n"), "mix-spans")
+    spans = materialize(spans.select(ids_of("doc_id").alias("_id"), F.col("txt").alias("_txt"), F.col("source").alias("_source"),
+                                     "pass_no", "_spans", "_n"), "mix-spans")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), ids_of(f"`{doc_id}`").alias("_id"),
-                       F.xxhash64(f"`{text}`").alias("_txt"))
-    one = F.row_number().over(W.partitionBy("_id", "_txt", "pass_no").orderBy("_n"))
-    rows = rows.join(spans, ["_id", "_txt"]).withColumn("_copy", one).where("_copy = 1")
+                       F.xxhash64(f"`{text}`").alias("_txt"), F.col(f"`{source}`").alias("_src"))
+    one = F.row_number().over(W.partitionBy("_id", "_txt", "_src", "pass_no").orderBy("_n"))
+    rows = rows.join(spans.withColumnsRenamed({"_id": "_id2", "_txt": "_txt2"}), (F.col("_id") == F.col("_id2")) & (
+        F.col("_txt") == F.col("_txt2")) & F.col("_src").eqNullSafe(F.col("_source"))).withColumn("_copy", one).where("_copy = 1")
     rows = barrier(rows.select("_row", "_spans", "_n"), _w=words_of(spaced(F.col("_row")[text])))
     part = F.array_join(F.flatten(F.transform("_spans", lambda r: F.slice(
         "_w", (r["from_word"] + 1).cast("int"), (r["to_word"] - r["from_word"]).cast("int")))), " ")

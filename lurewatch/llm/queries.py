@@ -46,7 +46,7 @@ def op8_simhash(spark, sf):
 @query
 def op5_source_mix(spark, sf):
     mix = mixing.Mix(mixing.sized(table(spark, sf, "documents")), weights=(5, 2, 1), share=1.5, max_repeat=2)
-    return mix.taken().select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mix.taken().select("doc_id", "size", "source_size", "target", "taken", "source", "n_pieces", "first_shard", "first_place")
 
 
 @query
