@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lurewatch.llm import bpe, lines, mixing, overlap, quality
+from lurewatch.llm import bpe, lines, mixing, quality, simhash
 from lurewatch.llm.common import materialize
 
 POLICY = "web-2"
@@ -26,8 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, five-word shingles with a similarity of 0.8 or more, the smallest id stays."""
-    return overlap.representatives(docs, width=5, percent=80)
+    """Of each group of documents whose fingerprints of three-word shingles link at two bits or fewer, the smallest id stays."""
+    return simhash.representatives(docs, max_bits=2)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
