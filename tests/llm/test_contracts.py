@@ -11,7 +11,7 @@ import xxhash
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lurewatch.llm import bpe, langid, lines, mixing, neardup, overlap, quality, sharding, simhash, urlgraph, warc
+from lurewatch.llm import bpe, langid, lines, mixing, neardup, quality, sharding, simhash, urlgraph, warc
 from lurewatch.llm import queries as Q
 import corpus_pipeline
 
@@ -258,6 +258,53 @@ def test_mix_repeats_and_reruns(spark):
     assert counts == sum(r.taken for r in rows)
 
 
+def test_shards_hold_what_their_places_draw(spark):
+    """Places against a plain walk over the same draws: own slots in order, surplus places to the sources left short."""
+    sizes = {"a": 5000, "b": 3000, None: 700, "d": 40}
+    sources = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"))
+    run, mixing.RUN = mixing.RUN, 50
+    try:
+        got = mixing.slots(sources, 16, 8).collect()
+        n, upto = len(got), []
+        per = {r.source: 0 for r in got}
+        for r in got:
+            per[r.source] += 1
+        names = ["a", "b", "d", None]
+        for s in names:
+            upto.append((upto or [0])[-1] + per[s])
+        runs = spark.range((n + 49) // 50).select(F.col("id").alias("_run"), F.lit(n).cast("long").alias("_n"), F.array(*[F.lit(u).cast("long") for u in upto]).alias("_upto"))
+        drawn = [r._no for r in sorted(mixing.draws(runs).collect(), key=lambda r: r.place)]
+    finally:
+        mixing.RUN = run
+    seen, exp, surplus = [0] * 4, {}, {k: [] for k in range(4)}
+    for place, k in enumerate(drawn):
+        if seen[k] < per[names[k]]:
+            exp[place] = (names[k], seen[k])
+        else:
+            surplus[k].append(place)
+        seen[k] += 1
+    short = [(names[k], i) for k in range(4) for i in range(seen[k], per[names[k]])]
+    exp.update(zip([p for k in range(4) for p in surplus[k]], short, strict=True))
+    assert short and {r.place: (r.source, r.slot) for r in got} == exp
+    assert all(r.shard == r.place * 8 // n for r in got)
+    assert {r.source: r.w for r in mixing.shard_counts(spark.createDataFrame(got)).groupBy("source").agg(F.sum("words").alias("w")).collect()} == {
+        r.source: round(r.target) for r in sources.collect()}
+    words_of_shard = {(r.shard, r.source): r.slots for r in mixing.shard_counts(spark.createDataFrame(got)).collect()}
+    assert len({words_of_shard.get((s, "a"), 0) for s in range(8)}) > 1  # a draw, not an even deal
+
+
+def test_mixed_documents_of_equal_id_and_text_in_two_sources(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    df = spark.createDataFrame([(None, text, "a"), (None, text, "b"), (7, text, None)], "doc_id long, text string, source string")
+    out = mixing.mixed_documents(df).collect()
+    taken = {r.source: r.taken for r in mixing.Mix(mixing.sized(df)).taken().collect()}
+    got = {}
+    for r in out:
+        assert len(set(r.text.split())) == len(r.text.split()) <= 200  # no word twice in a row
+        got[r.source] = got.get(r.source, 0) + len(r.text.split())
+    assert got == taken and {r.doc_id for r in out if r.source is None} == {7}
+
+
 def test_mixed_documents_hold_the_taken_words(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     taken = {r.doc_id: r.taken for r in mixing.Mix(mixing.sized(docs)).taken().collect()}
@@ -375,6 +422,23 @@ def test_urls(spark):
     assert urlgraph.filtered(df.limit(0), Q.URL_RULES).count() == 0
 
 
+def test_propagation_alone_blocks(spark):
+    """Hosts that no rule touches: one that links to blocked hosts, one beside them under their domain, one far away."""
+    rows = [(i, f"http://x{i % 3}.bad.net/es/{i}", "") for i in range(30)] + [(100 + i, f"http://good{i % 5}.com/{i}", "") for i in range(40)]
+    rows += [(200, "http://clean.bad.net/de/", ""), (300, "http://linker.org/", '<a href="http://x1.bad.net/"><a href="//x2.bad.net/q">'),
+             (400, "http://far.org/", '<a href="http://good1.com/">')]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    on = {r.page_id: r for r in urlgraph.filtered(df, Q.URL_RULES).collect()}
+    off = {r.page_id: r for r in urlgraph.filtered(df, Q.URL_RULES, damping=0.0).collect()}
+    assert all(on[i].rule is None for i in (200, 300, 400))
+    assert [on[i].verdict for i in (200, 300, 400)] == ["block", "block", "allow"]
+    assert [off[i].verdict for i in (200, 300, 400)] == ["allow"] * 3 and off[300].distrust == 0
+    edges = {(r.src, r.dst): r.weight for r in urlgraph.domain_edges(
+        spark.createDataFrame([("a.b.c.org", 2), ("b.c.org", 3), ("x.c.org", 4), ("localhost", 5), ("", 6)], "host string, pages long")).collect()}
+    up = {("a.b.c.org", "b.c.org"): 2.0, ("b.c.org", "c.org"): 5.0, ("x.c.org", "c.org"): 4.0}
+    assert edges == {**up, **{(b, a): w for (a, b), w in up.items()}}
+
+
 def test_propagation_like_power_iteration(spark):
     links = [("a", "b", 1.0), ("a", "c", 3.0), ("b", "c", 1.0), ("c", "a", 2.0), ("d", "a", 1.0), ("b", "e", 1.0)]
     edges = spark.createDataFrame([("allow", *x) for x in links], "kind string, src string, dst string, weight double")
@@ -498,61 +562,28 @@ def test_pipeline_stage_by_stage(spark):
     assert all(hashlib.sha256(tokenizer.decode(r.ids)).hexdigest() == r.decoded_sha256 for r in out)
 
 
-def jaccard_groups(texts):
-    """Brute force: the smallest position in the group of each text, linked from a similarity of 0.8 on."""
-    sets = []
-    for t in texts:
-        ws = (t or "").encode().lower().split()
-        sets.append({b" ".join(ws[i:i + 5]) for i in range(max(1, len(ws) - 4))})
-    root = list(range(len(texts)))
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            if root[i] != root[j] and 5 * len(a & b) >= 4 * len(a | b):
-                low, high = sorted((root[i], root[j]))
-                root = [low if r == high else r for r in root]
-    return root
-
-
-def test_near_copies_like_brute_force(spark):
+def test_pipeline_near_dedup_like_brute_force(spark):
+    """The stage keeps the smallest id of every group of fingerprints that link at two bits or fewer."""
     rng = np.random.default_rng(11)
     texts = [None, "", " \n", "A b", "a  B", "a b c", LONG]
-    for g in range(30):
-        base = [f"w{g}x{k}" for k in rng.integers(0, 400, rng.integers(20, 200))]
-        for edits in (0, 0, 1, 1, 2, 3, 6, *([1] * 90 if g == 0 else [])):
+    for g in range(12):
+        base = [f"w{g}x{k}" for k in rng.integers(0, 400, rng.integers(20, 900))]
+        for edits in (0, 0, 1, 1, 2, *([0] * 98 if g == 0 else [0] * 10 if g == 1 else [])):
             copy = list(base)
-            for at in rng.choice(len(base), min(edits, len(base)), replace=False):
+            for at in rng.choice(len(base), edits, replace=False):
                 copy[at] = f"edit{rng.integers(10 ** 9)}"
             texts.append(" ".join(copy))
-    exp = jaccard_groups(texts)
-    ids = list(range(len(texts)))
-    df = spark.createDataFrame([(i, t) for i, t in zip(ids, texts)] + [(3, texts[3])], "doc_id long, text string").repartition(5)
-    root = {}
-    for r in overlap.groups(df).collect():
-        root.setdefault(r.root, set()).add(r.doc_id)
-    assert sorted(map(sorted, root.values())) == sorted(sorted(i for i in ids if exp[i] == e) for e in set(exp))
-    out = corpus_pipeline.near_dedup(spark, df, SF).collect()
-    assert sorted(r.doc_id for r in out) == sorted(set(exp))
-    assert len(set(exp)) < len({simhash.fingerprint(t, 3) for t in texts}) - 20  # far more than near-exact copies
-
-
-def test_open_buckets_are_compared_pair_by_pair():
-    sets = [np.unique(np.array(s, np.uint64)) for s in ([*range(10)], [*range(20, 30)], [*range(1, 11)], [*range(20, 31)], [])]
-    assert overlap.connect(sets, np.full(5, 2), np.arange(5), 80) == [(0, 2), (1, 3)]
-    assert overlap.connect(sets, np.full(5, 2), np.array([7, 1, 7, 3, 4]), 80) == [(1, 3)]
-    assert overlap.connect(sets, np.array([0, 0, 1, 0, 1]), np.arange(5), 80) == [(0, 2)]
-    rng = np.random.default_rng(2)
-    many = [np.unique(rng.integers(0, 60, 50).astype(np.uint64)) for _ in range(80)]
-    pairs = overlap.connect(many, np.full(80, 2), np.arange(80), 50)
-    root = list(range(80))
-    for a, b in pairs:
-        root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
-    exp = list(range(80))
-    for i in range(80):
+    prints = [simhash.fingerprint(t, 3) & (2 ** 64 - 1) for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(prints):
         for j in range(i):
-            a, b = set(many[i].tolist()), set(many[j].tolist())
-            if exp[i] != exp[j] and 2 * len(a & b) >= len(a | b):
-                exp = [min(exp[i], exp[j]) if r in (exp[i], exp[j]) else r for r in exp]
-    assert root == exp and pairs
+            if root[i] != root[j] and (a ^ prints[j]).bit_count() <= 2:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    df = spark.createDataFrame([*enumerate(texts), (3, texts[3]), (None, texts[3]), (None, "a text without id")], "doc_id long, text string")
+    out = corpus_pipeline.near_dedup(spark, df.repartition(5), SF).collect()
+    assert sorted(r.doc_id for r in out if r.doc_id is not None) == sorted(set(root))
+    assert [r.text for r in out if r.doc_id is None] == ["a text without id"]
 
 
 def test_pipeline_keeps_one_of_many_copies(spark):
