@@ -19,6 +19,7 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import string
 from typing import NamedTuple
 
@@ -27,8 +28,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lurewatch.llm.common import barrier, materialize, release
 
 DAMPING = 0.85
-TOLERANCE = 1e-6
-ROUNDS = 50
+#: Share of the seed mass whose further spread may be left out; fixes the number of rounds.
+TOLERANCE = 1e-2
 BAR = 1.0
 _LINK = r"(?i)\b(?:href|src)\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s<>]+)"
 
@@ -88,19 +89,20 @@ def host_edges(pages: DataFrame, per_host: DataFrame, url: str = "url", html: st
     return both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(kind, host, score) from seeds of that shape; ``edges`` has (kind, src, dst, weight). Scores of a kind sum to 1.
 
-    The rounds add up how seed mass spreads, so the total only grows, and what it grew by is the change.
+    The rounds add up how seed mass spreads. A round spreads ``damping`` of what the one before did, so the number of
+    rounds after which less than ``tolerance`` is left is known; they end earlier where hosts without links take the mass.
     """
     out = materialize(edges.groupBy("kind", "src").agg(F.sum("weight").alias("_out")), "host-out")
     steps = edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("_out")).alias("p"))
     steps = materialize(steps, "host-steps")
     start = materialize(seeds.select("kind", "host", (F.col("score") * (1 - damping)).alias("score")), "host-ranks")
     ranks, total = start, 0.0
-    for _ in range(ROUNDS):
+    for _ in range(math.ceil(math.log(tolerance, damping)) if damping else 0):
         now = ranks.agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
-        if now - total < TOLERANCE:
+        if now - total < tolerance * (1 - damping):
             break
         total = now
         moved = ranks.withColumnRenamed("host", "src").join(steps, ["kind", "src"]).select(

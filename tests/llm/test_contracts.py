@@ -443,7 +443,7 @@ def test_propagation_like_power_iteration(spark):
     links = [("a", "b", 1.0), ("a", "c", 3.0), ("b", "c", 1.0), ("c", "a", 2.0), ("d", "a", 1.0), ("b", "e", 1.0)]
     edges = spark.createDataFrame([("allow", *x) for x in links], "kind string, src string, dst string, weight double")
     seeds = spark.createDataFrame([("allow", "a", 0.75), ("allow", "d", 0.25)], "kind string, host string, score double")
-    got = {r.host: r.score for r in urlgraph.propagate(edges, seeds).collect()}
+    got = {r.host: r.score for r in urlgraph.propagate(edges, seeds, tolerance=1e-6).collect()}
     names = "abcde"
     m, s = np.zeros((5, 5)), np.array([0.75, 0, 0, 0.25, 0])
     for a, b, w in links:
