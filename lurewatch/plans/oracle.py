@@ -670,10 +670,6 @@ O["lr_baseline"] = sql("SELECT 'logistic' AS model, unnest(['accuracy','precisio
 O["feature_importance"] = sql(f"""SELECT unnest({lst(words.FEATURES)}) AS feature, true AS boosted_ok, true AS forest_ok, 1.0::DOUBLE AS boosted_total,
   1.0::DOUBLE AS forest_total, true AS boosted_ranks_complete, true AS forest_ranks_complete""")
 O["attribution_topk"] = sql("SELECT url_id, unnest(range(1, 13))::INTEGER AS rank, true AS adds_up, true AS value_ok FROM split2 WHERE split='test'")
-O["grid_search_forest"] = """SELECT n AS "numTrees", d AS "maxDepth", f AS "featureSubsetStrategy", true AS mean_ok, true AS std_ok, true AS rank_ok
-  FROM (VALUES ('100'), ('200'), ('300'), ('500')) a(n), (VALUES ('10'), ('15'), ('20'), ('30')) b(d), (VALUES ('sqrt'), ('log2'), ('0.5')) c(f)"""
-O["learning_curve_forest"] = """SELECT round(i / 10.0::DOUBLE, 1) AS share, true AS train_ok, true AS validation_ok, true AS gap_ok, i = 10 AS concludes
-  FROM range(1, 11) t(i)"""
 O["model_roundtrip"] = sql("SELECT url_id, label, true AS same FROM split2 WHERE split='test'")
 O["training_summary"] = sql("""SELECT 'forest' AS model, 'train_size' AS metric, count(*)::VARCHAR AS value FROM split2 WHERE split='train'
   UNION ALL SELECT 'forest', 'test_size', count(*)::VARCHAR FROM split2 WHERE split='test'

@@ -520,30 +520,6 @@ def learning_curve(spark, sf):
     return M.learning_curve(train, "boosted", {"maxIter": 3, "maxDepth": 3}, steps=3, folds=2)
 
 
-@query
-def grid_search_forest(spark, sf):
-    """The whole forest grid over five folds: 48 settings with their mean score, its spread and rank."""
-    train, _ = _fitted(spark, sf, "logistic")[:2]
-    rows = M.fitting_table(train)
-    table = M.grid_search(rows, "forest")[1]
-    rows.unpersist()
-    return table.select("numTrees", "maxDepth", "featureSubsetStrategy", F.col("mean_score").between(0.95, 1.0).alias("mean_ok"),
-                        F.col("std_score").between(0.0, 0.05).alias("std_ok"), F.col("rank").between(1, 48).alias("rank_ok"))
-
-
-@query
-def learning_curve_forest(spark, sf):
-    """Ten shares by five folds with the full forest settings."""
-    train, _ = _fitted(spark, sf, "logistic")[:2]
-    rows = M.fitting_table(train)
-    curve = M.learning_curve(rows, "forest")
-    rows.unpersist()
-    return curve.select(F.round("share", 1).alias("share"), F.col("train_mean").between(0.95, 1.0).alias("train_ok"),
-                        F.col("validation_mean").between(0.9, 1.0).alias("validation_ok"), (F.col("gap") == F.round(
-                            F.abs(F.col("train_mean") - F.col("validation_mean")), 4)).alias("gap_ok"),
-                        F.col("conclusion").isNotNull().alias("concludes"))
-
-
 @query
 def training_summary(spark, sf):
     return M.training_summary(*_fitted(spark, sf, "forest"), "forest")
