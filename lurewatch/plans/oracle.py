@@ -504,7 +504,7 @@ O["technique_counts"] = sql(f"SELECT technique, count(*) AS hits, {pct('count(*)
 
 _sc = ", ".join(f"CASE WHEN s_{f}=0 THEN 0.0::DOUBLE ELSE round(({f}-m_{f})/s_{f},4) END AS {f}" for f in words.FEATURES)
 _st = ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in words.FEATURES)
-O["scaled_features"] = sql(f"SELECT url_id, {_sc} FROM splitfeat, (SELECT {_st} FROM splitfeat WHERE split='train') WHERE split='test'")
+O["scaled_features"] = sql(f"SELECT url_id, split, {_sc} FROM splitfeat, (SELECT {_st} FROM splitfeat WHERE split='train')")
 O["class_weights"] = sql("SELECT label, count(*) AS n, round((SELECT count(*) FROM split2 WHERE split='train')::DOUBLE/(2.0::DOUBLE*count(*)),6) AS weight FROM split2 WHERE split='train' GROUP BY label")
 O["random_baseline"] = sql("SELECT url_id, label, pred, proba FROM randbase")
 O["ensemble_weights"] = sql("SELECT model, f1, round(f1/sum(f1) OVER (),4) AS weight FROM testmetrics WHERE model IN ('boosted','forest')")

@@ -383,7 +383,7 @@ def technique_counts(spark, sf):
 @query
 def scaled_features(spark, sf):
     rows = split_features(spark, sf)
-    return M.scaled_features(rows.where("split = 'test'"), rows.where("split = 'train'")).select("url_id", *FEATURES)
+    return M.scaled_features(rows, rows.where("split = 'train'")).select("url_id", "split", *FEATURES)
 
 
 @query
