@@ -6,6 +6,7 @@ from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lurewatch.fixed.suffixes import WILDCARD_SUFFIXES
 from lurewatch.fixed.words import (
     DEFAULT_TLD_RISK, FEATURES, LOGIN_KEYWORDS, NO_LABEL_DISTANCE, SECOND_LEVEL_SUFFIXES, SHORTENERS,
     SPOOFED_BRANDS, TLD_RISK, TOP_BRANDS)
@@ -141,17 +142,55 @@ def char_profile(df: DataFrame, url: str = "url") -> DataFrame:
                      part(F.col("_s")).alias("special_ratio"))
 
 
+BUILT_IN_SUFFIXES = [*TLD_RISK, *SECOND_LEVEL_SUFFIXES, *WILDCARD_SUFFIXES]
+
+
 def suffix_dimension(spark: SparkSession) -> DataFrame:
-    """suffix: the endings of the risk table and common second-level registries."""
-    return spark.createDataFrame([(s,) for s in [*TLD_RISK, *SECOND_LEVEL_SUFFIXES]], "suffix string")
+    """suffix: the endings of the risk table, common second-level registries and wildcard rules."""
+    return spark.createDataFrame([(s,) for s in BUILT_IN_SUFFIXES], "suffix string")
+
+
+def suffix_rules(suffixes: DataFrame) -> DataFrame:
+    """One row per name in the rules: ``name, labels`` and whether it ``ends`` a suffix itself, has a wildcard
+    ``below`` it, or is ``excepted`` from the wildcard above it. Rules are lower case; a wildcard is their first label."""
+    name = F.regexp_replace("suffix", r"^(?:\*\.|!)", "")
+    below, excepted = F.col("suffix").startswith("*."), F.col("suffix").startswith("!")
+    return (suffixes.where("suffix <> ''").groupBy(name.alias("name"))
+            .agg(F.bool_or(~below & ~excepted).alias("ends"), F.bool_or(below).alias("below"),
+                 F.bool_or(excepted).alias("excepted"))
+            .withColumn("labels", T.count_char(F.col("name"), ".") + 1))
+
+
+def _rules_by_join(df: DataFrame, suffixes: DataFrame) -> tuple[DataFrame, dict[int, tuple[Column, Column, Column]]]:
+    """Look the last k labels of ``_h`` up among the rules of k labels, for every k that has rules."""
+    rules, found = suffix_rules(suffixes), {}
+    for k in sorted(r.labels for r in rules.select("labels").distinct().collect()):  # a host has at most 127 labels
+        kinds = {kind: f"_{kind}{k}" for kind in ("ends", "below", "excepted")}
+        level = rules.where(F.col("labels") == k).select(
+            F.col("name").alias(f"_name{k}"), *[F.col(kind).alias(n) for kind, n in kinds.items()])
+        df = df.withColumn(f"_name{k}", F.substring_index("_h", ".", -k)).join(level, f"_name{k}", "left")
+        found[k] = tuple(F.coalesce(F.col(n), F.lit(False)) & (F.col("_nlabels") >= k) for n in kinds.values())
+    return df, found
+
+
+def _built_in_rules() -> dict[int, tuple[Column, Column, Column]]:
+    """The same for the built-in rules, as literals."""
+    by_level = defaultdict(lambda: ([], [], []))
+    for rule in BUILT_IN_SUFFIXES:
+        name = rule.removeprefix("*.").removeprefix("!")
+        by_level[name.count(".") + 1][1 if rule.startswith("*.") else 2 if rule.startswith("!") else 0].append(name)
+    return {k: tuple(F.substring_index("_h", ".", -k).isin(names) & (F.col("_nlabels") >= k) if names else F.lit(False)
+                     for names in kinds) for k, kinds in sorted(by_level.items())}
 
 
 def host_parts(df: DataFrame, url: str = "url", suffixes: DataFrame | None = None) -> DataFrame:
     """Public suffix, registered-domain length and subdomain count.
 
-    The longest known suffix of up to three labels wins; an unknown ending counts as a one-label
-    suffix. ``suffixes`` is a table with a ``suffix`` column, such as ``suffix_dimension`` or the public suffix
-    list; it is joined once, by the last label. Without it the built-in suffixes are literals.
+    Suffix rules are those of the public suffix list: a plain rule names a suffix of any number of labels, ``*.x``
+    makes every label below ``x`` one, and ``!y.x`` takes ``y`` out again. An exception beats all rules, else the
+    rule of most labels wins; a host without a rule ends in a one-label suffix, or in none if it is a single label.
+    ``suffixes`` is a table with such rules in a ``suffix`` column, joined once per number of labels; its size
+    decides how. Without it the built-in rules are literals.
     """
     keep = df.columns
     df = with_url_parts(df, url)
@@ -160,18 +199,15 @@ def host_parts(df: DataFrame, url: str = "url", suffixes: DataFrame | None = Non
         F.substring_index(F.lower(F.substring_index("_netloc", "@", -1)), ":", 1), r"\.$", ""))
     df = df.withColumn("_ip", F.col("_h").rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$") | (F.col("_h") == ""))
     df = df.withColumn("_nlabels", T.count_char(F.col("_h"), ".") + 1)
-    candidates = {k: F.substring_index("_h", ".", -k) for k in (3, 2, 1)}
     if suffixes is None:
-        known = {k: c.isin([*TLD_RISK, *SECOND_LEVEL_SUFFIXES]) for k, c in candidates.items()}
+        found = _built_in_rules()
     else:
-        by_last = suffixes.groupBy(F.substring_index("suffix", ".", -1).alias("_last")).agg(
-            F.collect_set("suffix").alias("_known"))
-        df = df.withColumn("_last", candidates[1]).join(by_last, "_last", "left")
-        known = {k: F.coalesce(F.array_contains("_known", c), F.lit(False)) for k, c in candidates.items()}
-    size = (F.when(F.col("_ip"), 0)
-            .when((F.col("_nlabels") >= 3) & known[3], 3)
-            .when((F.col("_nlabels") >= 2) & known[2], 2)
-            .when((F.col("_nlabels") >= 2) | known[1], 1).otherwise(0))
+        df, found = _rules_by_join(df, suffixes)
+    excepted = F.coalesce(*[F.when(out, k - 1) for k, (_, _, out) in sorted(found.items(), reverse=True)], F.lit(None))
+    fits = [F.when(ends, k) for k, (ends, _, _) in found.items()]
+    fits += [F.when(below & (F.col("_nlabels") > k), k + 1) for k, (_, below, _) in found.items()]
+    size = F.when(F.col("_ip"), 0).otherwise(
+        F.coalesce(excepted, F.greatest(*fits, F.when(F.col("_nlabels") >= 2, 1).otherwise(0), F.lit(0))))
     df = df.withColumn("_size", size)
     df = df.withColumn("tld", F.when(F.col("_size") == 0, "")
                        .otherwise(F.expr("substring_index(_h, '.', -_size)")))

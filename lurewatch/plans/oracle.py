@@ -10,7 +10,8 @@ import re
 from functools import cache
 
 from lurewatch.fixed import rules as RU, seeds, texts, words
-from lurewatch.sources.specimens import EDGE_URLS
+from lurewatch.fixed.suffixes import WILDCARD_SUFFIXES
+from lurewatch.sources.specimens import EDGE_URLS, SUFFIX_URLS
 
 PIECES: dict[str, str] = {}
 ORACLES: dict[str, str] = {}
@@ -304,7 +305,8 @@ PIECES["freepred"] = _long(_surr("freerows"), {m: c for m, c in _MODELS.items()
 
 # ---- host parts -----------------------------------------------------------------------------
 
-_SUFFIX = lst([*words.TLD_RISK, *words.SECOND_LEVEL_SUFFIXES])
+_SUFFIX = lst([*words.TLD_RISK, *words.SECOND_LEVEL_SUFFIXES, *WILDCARD_SUFFIXES])
+_LONGEST = 5  # labels of the longest rule
 
 
 def _host_parts(src: str) -> str:
@@ -313,13 +315,18 @@ def _host_parts(src: str) -> str:
   CAST(CASE WHEN ip THEN length(h) WHEN n-size>=1 THEN length(labels[n-size]) ELSE 0 END AS INTEGER) AS reg_domain_length,
   CAST(CASE WHEN ip OR n-size<1 THEN 0 ELSE n-size-1 END AS INTEGER) AS subdomain_count,
   CAST((NOT ip AND n-size>1) AS INTEGER) AS has_subdomain
-FROM (SELECT *, CASE WHEN ip THEN 0 WHEN n>=3 AND list_contains({_SUFFIX}, labels[-3]||'.'||labels[-2]||'.'||labels[-1]) THEN 3
-   WHEN n>=2 AND list_contains({_SUFFIX}, labels[-2]||'.'||labels[-1]) THEN 2 WHEN n>=2 OR list_contains({_SUFFIX}, h) THEN 1 ELSE 0 END AS size
+FROM (SELECT *, CASE WHEN ip THEN 0 ELSE coalesce(
+   list_max([k - 1 FOR k IN range(1, {_LONGEST + 1}) IF k<=n AND list_contains({_SUFFIX}, '!'||array_to_string(labels[n-k+1:n],'.'))]),
+   list_max([k FOR k IN range(1, {_LONGEST + 2}) IF k<=n AND (list_contains({_SUFFIX}, array_to_string(labels[n-k+1:n],'.'))
+     OR k>1 AND list_contains({_SUFFIX}, '*.'||array_to_string(labels[n-k+2:n],'.')))]), (n>=2)::INT) END AS size
  FROM (SELECT *, string_split(h,'.') AS labels, len(string_split(h,'.')) AS n, h='' OR regexp_matches(h,'^([0-9]{{1,3}}\\.){{3}}[0-9]{{1,3}}$') AS ip
   FROM (SELECT *, regexp_replace(split_part(lower(regexp_replace(netloc,'^.*@','')),':',1),'\\.$','') AS h FROM ({_parts(src)}))))"""
 
 
 PIECES["hosts"] = _host_parts("corpus")
+PIECES["suffixurls"] = (
+    f"SELECT CAST(p.page_id*{len(SUFFIX_URLS)}+e.i AS BIGINT) AS url_id, replace(e.u, '{{}}', CAST(p.page_id AS VARCHAR)) AS url "
+    "FROM pages p, (VALUES " + ",".join(f"({i},'{u}')" for i, u in enumerate(SUFFIX_URLS)) + ") e(i,u)")
 
 # ---- mutations ------------------------------------------------------------------------------
 
@@ -476,6 +483,7 @@ for _g, _names in words.FEATURE_GROUPS.items():
 _chars = r"""length(regexp_replace(url,'[^0-9]+','','g'))::DOUBLE/length(url) AS d, length(regexp_replace(url,'[^a-zA-Z]+','','g'))::DOUBLE/length(url) AS a,
   length(regexp_replace(url,'[a-zA-Z0-9]+','','g'))::DOUBLE/length(url) AS s"""
 O["char_profile"] = sql(f"SELECT url_id, round(d,6) AS digit_ratio, round(a,6) AS alpha_ratio, round(s,6) AS special_ratio FROM (SELECT url_id, {_chars} FROM corpus)")
+O["suffix_rules"] = sql("SELECT url_id, url, tld, reg_domain_length, subdomain_count, has_subdomain FROM (" + _host_parts("suffixurls") + ")")
 O["host_parts"] = sql("SELECT url_id, tld, reg_domain_length, subdomain_count, has_subdomain FROM ("
                       + _host_parts("(SELECT url_id, url FROM corpus UNION ALL SELECT -1-url_id, url FROM edges)") + ")")
 O["feat_simple"] = sql(rf"""SELECT url_id, CAST(length(u) AS INTEGER) AS url_length, CAST(length(netloc) AS INTEGER) AS netloc_length, CAST(length(path) AS INTEGER) AS path_length,

@@ -309,6 +309,11 @@ def host_parts(spark, sf):
     return C.host_parts(rows, suffixes=C.suffix_dimension(spark)).drop("url")
 
 
+@query
+def suffix_rules(spark, sf):
+    return C.host_parts(S.suffix_urls(pages(spark, sf)), suffixes=C.suffix_dimension(spark))
+
+
 @query
 def feat_simple(spark, sf):
     return C.simple_features(corpus(spark, sf)).drop("kind", "label", "url")

@@ -64,3 +64,22 @@ def edge_urls(pages: DataFrame) -> DataFrame:
          F.replace(F.lit(u), F.lit("{}"), F.col("page_id").cast("string"))).alias("url"))
         for i, u in enumerate(EDGE_URLS)])
     return pages.select(F.explode(rows).alias("_e")).select("_e.*")
+
+
+# Hosts whose endings need wildcard rules, exceptions or long rules; {} is replaced by the page number.
+SUFFIX_URLS = [
+    "http://shop{}.co.ck/", "http://www.ck/{}", "http://a{}.www.ck/", "http://x{}.ck/", "http://ck/{}", "http://np{}.np/",
+    "https://a.b{}.c.kawasaki.jp/", "https://city.kawasaki.jp/{}", "https://v{}.city.kawasaki.jp/", "https://kawasaki.jp/{}",
+    "https://w{}.kobe.jp/", "http://www.school{}.sch.uk/", "http://sch.uk/{}", "http://user@a.school{}.sch.uk:81/",
+    "https://bucket{}.s3.dualstack.us-east-1.amazonaws.com/", "https://x.bucket{}.s3.dualstack.us-east-1.amazonaws.com/",
+    "https://s3.dualstack.us-east-1.amazonaws.com/{}", "https://us-east-1.amazonaws.com/{}", "HTTP://A{}.WWW.CK./",
+]
+
+
+def suffix_urls(pages: DataFrame) -> DataFrame:
+    """url_id, url: every such host once per page."""
+    rows = F.array(*[F.struct(
+        (F.col("page_id") * len(SUFFIX_URLS) + i).cast("bigint").alias("url_id"),
+        F.replace(F.lit(u), F.lit("{}"), F.col("page_id").cast("string")).alias("url"))
+        for i, u in enumerate(SUFFIX_URLS)])
+    return pages.select(F.explode(rows).alias("_e")).select("_e.*")

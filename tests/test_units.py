@@ -234,6 +234,26 @@ def test_suffix_table_route_equals_literal_route(spark):
     assert a.select(b.columns).exceptAll(b).count() == 0
 
 
+@pytest.mark.parametrize("rules, host, suffix, left", [
+    (["*.ck", "!www.ck"], "a.b.ck", "b.ck", 1), (["*.ck", "!www.ck"], "b.ck", "b.ck", 0),
+    (["*.ck", "!www.ck"], "www.ck", "ck", 3), (["*.ck", "!www.ck"], "x.www.ck", "ck", 3),
+    (["a.b.c.d.e.f", "f"], "z.a.b.c.d.e.f", "a.b.c.d.e.f", 1), (["a.b.c.d.e.f", "f"], "b.c.d.e.f", "f", 1),
+    (["uk", "co.uk", "co.uk"], "x.yy.co.uk", "co.uk", 2), ([], "x.yy.co.uk", "uk", 2), ([], "localhost", "", 9),
+    (["", "*.b", "b"], "a.b", "a.b", 0), (["", "*.b", "b"], "b", "b", 0),
+])
+def test_suffix_rules(spark, rules, host, suffix, left):
+    df = spark.createDataFrame([(f"http://{host}/",)], "url string")
+    row = C.host_parts(df, suffixes=spark.createDataFrame([(r,) for r in rules], "suffix string")).first()
+    assert (row.tld, row.reg_domain_length) == (suffix, left)
+
+
+def test_built_in_suffix_rules_as_literals_and_as_table(spark):
+    from lurewatch.sources.specimens import suffix_urls
+    df = suffix_urls(spark.range(3).withColumnRenamed("id", "page_id"))
+    a, b = C.host_parts(df, suffixes=C.suffix_dimension(spark)), C.host_parts(df)
+    assert a.exceptAll(b).count() == 0 == b.exceptAll(a).count() and a.columns == b.columns
+
+
 def test_feature_contract():
     class Fake:
         columns = ["url", *FEATURES[1:], "odd"]
