@@ -662,9 +662,17 @@ O["drift_check"] = sql(" UNION ALL ".join(
 O["class_separation"] = sql("SELECT label, round(avg(url_length),1) AS mean_length, round(avg(has_https)*100,1) AS https_pct FROM feat GROUP BY label")
 
 O["stream_score"] = sql("SELECT url_id, verdict, score, layer1_verdict, escalated FROM scored")
-O["stream_verdict_counts"] = sql("""SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, verdict, count(*) AS n FROM (SELECT *, date_trunc('hour', ts) AS window_start FROM clicks)
-  WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL""")
-O["recent_scans"] = O["stream_recent_scans"] = sql("SELECT ts, event_id, substr(url,1,60) AS url, verdict, score FROM clicks ORDER BY ts DESC, event_id DESC LIMIT 5")
+PIECES["delivered"] = """SELECT event_id, verdict, ts, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
+  CASE WHEN third=0 AND event_id%50=0 THEN 2 ELSE third END AS delivery
+  FROM (SELECT *, (epoch_us(ts) - min(epoch_us(ts)) OVER ()) * 3 // (max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER () + 1) AS third FROM clicks)"""
+PIECES["closed"] = """SELECT d.delivery, (SELECT max(ts) FROM delivered b WHERE b.delivery < d.delivery) - INTERVAL 10 MINUTE AS closed_until
+  FROM (VALUES (0), (1), (2), (3)) d(delivery)"""
+O["stream_verdict_counts"] = sql("""SELECT window_end - INTERVAL 1 HOUR AS window_start, window_end, verdict, count(*) AS n
+  FROM delivered JOIN closed c USING (delivery) WHERE (c.closed_until IS NULL OR window_end > c.closed_until)
+  AND window_end <= (SELECT closed_until FROM closed WHERE delivery=3) GROUP BY ALL""")
+O["stream_recent_scans"] = sql("""SELECT ts, event_id, substr(url,1,60) AS url, verdict, score FROM clicks
+  WHERE ts > (SELECT max(ts) FROM clicks) - INTERVAL 1 DAY ORDER BY ts DESC, event_id DESC LIMIT 5""")
+O["recent_scans"] = sql("SELECT ts, event_id, substr(url,1,60) AS url, verdict, score FROM clicks ORDER BY ts DESC, event_id DESC LIMIT 5")
 
 
 @cache

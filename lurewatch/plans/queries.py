@@ -934,36 +934,59 @@ def stream_score(spark, sf):
     return spark.read.schema(out.schema).parquet(path)
 
 
-def _events(spark, sf, streaming: bool):
-    """Click events with the URL they hit and its score."""
+def _scored_urls(spark, sf) -> tuple[DataFrame, int]:
     urls = J.score_urls(corpus(spark, sf), _with_layer2).select("url_id", "url", "verdict", "score")
     urls = materialize(urls, "scored-urls")  # scored once, not again for every micro-batch
-    n = urls.count()
-    schema = "event_id bigint, ts timestamp"
-    events = (J.read_stream(spark, f"{sf}/events.parquet", schema) if streaming
-              else spark.read.parquet(f"{sf}/events.parquet").select("event_id", "ts"))
+    return urls, urls.count()
+
+
+def _clicks(events: DataFrame, urls: DataFrame, n: int) -> DataFrame:
+    """Click events with the URL they hit and its score."""
     return events.withColumn("url_id", F.col("event_id") % n).join(urls, "url_id")
 
 
+DELIVERIES = 3
+EVENT_SCHEMA = "event_id bigint, ts timestamp"
+
+
+def _delivered(spark, sf) -> DataFrame:
+    """Events with their delivery: thirds of the time span, but every 50th event of the first comes with the last."""
+    events = spark.read.schema(EVENT_SCHEMA).parquet(f"{sf}/events.parquet")
+    span = events.agg(F.min(F.unix_micros("ts")).alias("_a"), F.max(F.unix_micros("ts")).alias("_b"))
+    third = F.expr(f"(unix_micros(ts) - _a) * {DELIVERIES} DIV (_b - _a + 1)")
+    late = (third == 0) & (F.col("event_id") % 50 == 0)
+    return (events.crossJoin(F.broadcast(span))  # one row
+            .select("event_id", "ts", F.when(late, DELIVERIES - 1).otherwise(F.coalesce(third, F.lit(0))).alias("delivery")))
+
+
+def _run_deliveries(spark, sf, run: Callable[[DataFrame], None]) -> None:
+    """Let the deliveries arrive one after the other; ``run`` takes up each of them with a stream started anew."""
+    urls, n = _scored_urls(spark, sf)
+    events, folder = _delivered(spark, sf), shared_path(spark, "arriving")
+    for i in range(DELIVERIES):
+        events.where(F.col("delivery") == i).drop("delivery").write.mode("append").parquet(folder)
+        run(_clicks(J.read_stream(spark, folder, EVENT_SCHEMA), urls, n))
+
+
 @query
 def stream_verdict_counts(spark, sf):
-    """Windows that the watermark has closed once all events have arrived."""
-    out = J.verdict_counts(_events(spark, sf, True))
+    """Windows that the watermark has closed; events that arrive after theirs was closed are dropped."""
     path, checkpoint = shared_path(spark, "counts"), shared_path(spark, "counts-log")
-    J.run_available(out, path, checkpoint)
-    return spark.read.schema(out.schema).parquet(path)
+    _run_deliveries(spark, sf, lambda clicks: J.run_available(J.verdict_counts(clicks), path, checkpoint))
+    return spark.read.parquet(path)
 
 
 @query
 def recent_scans(spark, sf):
-    return J.recent_scans(_events(spark, sf, False))
+    urls, n = _scored_urls(spark, sf)
+    return J.recent_scans(_clicks(spark.read.parquet(f"{sf}/events.parquet").select("event_id", "ts"), urls, n))
 
 
 @query
 def stream_recent_scans(spark, sf):
-    path, checkpoint = shared_path(spark, "recent"), shared_path(spark, "recent-log")
-    last = J.run_recent(_events(spark, sf, True), path, checkpoint)
-    return spark.read.parquet(f"{path}/{last}")
+    checkpoint = shared_path(spark, "recent-log")
+    _run_deliveries(spark, sf, lambda clicks: J.run_recent(clicks, checkpoint))
+    return J.held_scans(spark, checkpoint)
 
 
 @cache

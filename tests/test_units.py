@@ -298,16 +298,6 @@ def test_ranks_in_cells_that_are_cut_again(spark, monkeypatch):
     assert rows.where(whole).exceptAll(rows.where(cut)).count() == 0 == rows.where(cut).exceptAll(rows.where(whole)).count()
 
 
-def test_recent_scans_fail_when_their_state_is_lost(spark, tmp_path):
-    df = spark.createDataFrame([(1, "u", "SAFE", 0.1)], "event_id bigint, url string, verdict string, score double").withColumn(
-        "ts", F.current_timestamp())
-    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
-        J.recent_scans_sink(str(tmp_path / "r"))(df, 3)
-    J.recent_scans_sink(str(tmp_path / "e"))(df.limit(0), 0)
-    J.recent_scans_sink(str(tmp_path / "e"))(df, 1)
-    assert spark.read.parquet(str(tmp_path / "e" / "1")).count() == 1
-
-
 def test_fixed_lists_are_as_they_were():
     import hashlib
     from lurewatch.fixed import rules, texts, words
@@ -317,16 +307,36 @@ def test_fixed_lists_are_as_they_were():
         assert hashlib.sha256(repr(sorted(values.items())).encode()).hexdigest()[:16] == digest, module
 
 
-def test_recent_scans_over_several_batches(spark, tmp_path):
-    rows = [(i, f"2024-01-01 00:00:{i:02d}", f"http://u{i}.com/") for i in range(20)]
-    df = (spark.createDataFrame(rows, "event_id bigint, t string, url string")
-          .select("event_id", F.to_timestamp("t").alias("ts"), "url", F.lit("SAFE").alias("verdict"), F.lit(0.1).alias("score")))
-    sink = J.recent_scans_sink(str(tmp_path / "r"))
-    for batch, (a, b) in enumerate(((0, 7), (7, 9), (9, 20))):
-        sink(df.where(f"event_id >= {a} and event_id < {b}"), batch)
-    sink(df.where("event_id >= 9"), 2)  # a replay changes nothing
-    got = [r.event_id for r in spark.read.parquet(str(tmp_path / "r" / "2")).orderBy(F.desc("ts")).collect()]
-    assert got == [19, 18, 17, 16, 15]
+def arriving(spark, tmp_path, rows):
+    """Append rows of (event_id, time, url) as one arriving file and bring the recent scans up to date."""
+    src, log = str(tmp_path / "in"), str(tmp_path / "log")
+    df = spark.createDataFrame(rows, "event_id bigint, t string, url string").select(
+        "event_id", F.to_timestamp("t").alias("ts"), "url", F.lit("SAFE").alias("verdict"),
+        F.when(F.col("event_id") % 2 == 0, 0.1).alias("score"))
+    df.coalesce(1).write.mode("append").parquet(src)
+    J.run_recent(J.read_stream(spark, src, df.schema, max_files=1), log)
+    return [tuple(r) for r in J.held_scans(spark, log).collect()]
+
+
+def test_recent_scans_over_three_files_with_restarts(spark, tmp_path):
+    rows = [(i, f"2024-01-01 00:00:{i:02d}", None if i == 17 else f"http://u{i}.com/" + "x" * 60) for i in range(20)]
+    for a, b in ((0, 7), (7, 9), (9, 20)):
+        got = arriving(spark, tmp_path, rows[a:b])
+        assert [r[1] for r in got] == list(range(b - 1, b - 6, -1))
+    assert got[2][2:] == (None, "SAFE", None) and got[1][2:] == (("http://u18.com/" + "x" * 60)[:60], "SAFE", 0.1)
+    # Late but recent, a tie in time, a repeated event and rows without time or key.
+    more = [(50, "2024-01-01 00:00:17", "late"), (51, "2024-01-01 00:00:19", "tie"), (19, rows[19][1], "again"),
+            (60, None, "no time"), (None, "2024-01-01 00:00:30", "no key")]
+    assert [r[1] for r in arriving(spark, tmp_path, more)] == [51, 19, 19, 18, 50]
+
+
+def test_recent_scans_expire(spark, tmp_path):
+    arriving(spark, tmp_path, [(i, "2024-01-01 00:00:00", "old") for i in range(100)])
+    arriving(spark, tmp_path, [(200, "2024-01-03 00:00:00", "new")])
+    got = arriving(spark, tmp_path, [(201, "2024-01-01 12:00:00", "too late"), (202, "2024-01-02 12:00:00", "late")])
+    assert [r[1] for r in got] == [200, 202]
+    state = spark.read.format("statestore").load(str(tmp_path / "log"))
+    assert state.select(F.explode("value.groupState.key").alias("k")).where("k < 200").count() < 20
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
