@@ -613,6 +613,13 @@ O["bias_stress"] = sql(f"""SELECT url_id, expected, got, {_out} AS outcome, scor
   SELECT *, CASE WHEN layer2>=0.5 THEN 'PHISHING' ELSE 'LEGIT' END AS got, {rnd("layer2", 4)} AS score FROM ({_surr('(' + _features('biassrc') + ')')}))""")
 O["bias_summary"] = sql("""SELECT count(*) AS n, count_if((layer2>=0.5)=(label=1))::BIGINT AS passed, count_if(label=0 AND layer2>=0.5)::BIGINT AS false_positives,
   count_if(label=1 AND layer2<0.5)::BIGINT AS false_negatives FROM surr""")
+O["holdout_results_ml"] = sql("""SELECT url_id, url, layer1, mitre, rules, decided AS decided_by_rules, CASE WHEN decided THEN verdict END AS verdict,
+  CASE WHEN decided THEN score END AS score, CASE WHEN verdict<>'ERROR' THEN true END AS in_range, false AS wrongly_escalated
+  FROM (SELECT *, layer2_score IS NULL AS decided FROM holdout)""")
+O["adversarial_results_ml"] = sql("""SELECT url_id, original_url, mutated_url, mutation, heuristic_before, heuristic_after,
+  true AS in_range, true AS drop_ok, true AS rules_detect, true AS evaded_ok FROM advers""")
+O["bias_stress_ml"] = sql(f"""SELECT url_id, expected, qty_slash, has_https, url_length, true AS in_range, true AS between_models,
+  true AS outcome_ok, true AS mostly_right FROM ({_features('biassrc')})""")
 O["specimen_scores"] = sql("SELECT category, verdict, count(*) AS n, round(avg(score),4) AS avg_score FROM specscored GROUP BY category, verdict")
 
 for _n, _k in (("mut_subdomain", "subdomain_padding"), ("mut_https", "https_laundering"), ("mut_path", "path_dilution"),

@@ -725,12 +725,17 @@ def collision_summary(spark, sf):
     return E.collision_summary(split_features(spark, sf))
 
 
-def _holdout(spark, sf):
+def _holdout_hits(spark, sf):
+    """The rule table of all specimen and edge URLs, with an ``error`` where a URL cannot be analysed."""
     rows = corpus(spark, sf).select("url_id", "url").unionByName(
         edges(spark, sf).select((-1 - F.col("url_id")).alias("url_id"), "url"))
     checked = C.quarantine(rows)
     checked = checked.withColumn("error", F.when(F.col("error") == "unbalanced_brackets", F.col("error")))
-    base = with_surrogates(R.rule_hits(C.url_features(checked)))
+    return R.rule_hits(C.url_features(checked))
+
+
+def _holdout(spark, sf):
+    base = with_surrogates(_holdout_hits(spark, sf))
     base = base.withColumn("layer2", F.abs("layer2"))  # edge rows have negative keys
     return E.holdout_results(H.hybrid_score(base), error="error")
 
@@ -745,6 +750,20 @@ def holdout_summary(spark, sf):
     return E.holdout_summary(_holdout(spark, sf))
 
 
+@query
+def holdout_results_ml(spark, sf):
+    """The blind run with the trained ensemble; the full result rows are written, and what rules alone decide is returned."""
+    boosted, forest = _fitted(spark, sf, "boosted")[2], _fitted(spark, sf, "forest")[2]
+    todo = _holdout_hits(spark, sf).withColumn("needs_model", ~(H.is_high_risk() | H.is_blank()))
+    done = M.hybrid_score_models(materialize(todo, "holdout-hits", "needs_model"), boosted, forest)
+    rows = materialize(E.holdout_results(done, error="error"), "holdout-ml")
+    decided = F.col("layer2_score").isNull()
+    return rows.select("url_id", "url", "layer1", "mitre", "rules", decided.alias("decided_by_rules"),
+                       F.when(decided, F.col("verdict")).alias("verdict"), F.when(decided, F.col("score")).alias("score"),
+                       F.col("score").between(0.0, 1.0).alias("in_range"),
+                       (F.col("escalated") & ((F.col("layer1") != "SUSPICIOUS") | (F.col("score") < 0.55))).alias("wrongly_escalated"))
+
+
 def _variant_score(df: DataFrame, mutated: bool) -> DataFrame:
     """Surrogate ensemble score; variants shift it by the number of their mutation."""
     shift = F.lit(0)
@@ -753,10 +772,14 @@ def _variant_score(df: DataFrame, mutated: bool) -> DataFrame:
     return df.withColumn("ml_score", H.ensemble_score(_surrogate(7919, shift), _surrogate(104729, shift)))
 
 
-def _adversarial(spark, sf):
+def _attacks(spark, sf):
     attacks = corpus(spark, sf).where("label = 1").select("url_id", "url")
     seeded = spark.createDataFrame([(10 ** 12 + i, u) for i, u in enumerate(seeds.ATTACK_SEEDS)], "url_id bigint, url string")
-    return E.adversarial_results(attacks.unionByName(seeded), _variant_score)
+    return attacks.unionByName(seeded)
+
+
+def _adversarial(spark, sf):
+    return E.adversarial_results(_attacks(spark, sf), _variant_score)
 
 
 @query
@@ -764,17 +787,50 @@ def adversarial_results(spark, sf):
     return _adversarial(spark, sf)
 
 
+@query
+def adversarial_results_ml(spark, sf):
+    """Every mutation against the trained ensemble; the scores are written, and their ranges and agreement returned."""
+    boosted, forest = _fitted(spark, sf, "boosted")[2], _fitted(spark, sf, "forest")[2]
+    rows = materialize(E.adversarial_results(
+        _attacks(spark, sf), lambda df, mutated: M.score_models(df, boosted, forest)), "adversarial-ml")
+    before, after = F.col("score_before"), F.col("score_after")
+    return rows.select(
+        "url_id", "original_url", "mutated_url", "mutation", "heuristic_before", "heuristic_after",
+        (before.between(0.0, 1.0) & after.between(0.0, 1.0)).alias("in_range"),
+        (F.abs(before - after - F.col("score_drop")) < 2e-4).alias("drop_ok"),
+        ((F.col("heuristic_after") != "HIGH_RISK") | F.col("detected_after")).alias("rules_detect"),
+        (F.col("evaded") == (F.col("detected_before") & ~F.col("detected_after"))).alias("evaded_ok"))
+
+
 @query
 def adversarial_summary(spark, sf):
     return E.adversarial_summary(_adversarial(spark, sf))
 
 
-@query
-def bias_stress(spark, sf):
+def _bias_urls(spark, sf):
     known = spark.createDataFrame([(10 ** 12 + i, u, e) for i, (u, e, _) in enumerate(seeds.BIAS_URLS)],
                                   "url_id bigint, url string, expected string")
     rows = corpus(spark, sf).select("url_id", "url", F.when(F.col("label") == 1, "PHISHING").otherwise("LEGIT").alias("expected"))
-    table = C.url_features(with_surrogates(rows.unionByName(known)).withColumnRenamed("layer2", "ml_score"))
+    return rows.unionByName(known)
+
+
+@query
+def bias_stress_ml(spark, sf):
+    """The bias URLs under the trained ensemble; the scores are written, and their ranges and outcomes returned."""
+    boosted, forest = _fitted(spark, sf, "boosted")[2], _fitted(spark, sf, "forest")[2]
+    rows = materialize(E.bias_results(M.score_models(C.url_features(_bias_urls(spark, sf)), boosted, forest)), "bias-ml")
+    summary = E.bias_summary(rows).select(
+        (F.col("n") == F.col("passed") + F.col("false_positives") + F.col("false_negatives")) & (F.col("passed") >= 0.9 * F.col("n")))
+    parts = F.col("p_boosted"), F.col("p_forest")
+    return rows.select(
+        "url_id", "expected", "qty_slash", "has_https", "url_length", F.col("ml_score").between(0.0, 1.0).alias("in_range"),
+        F.col("ml_score").between(F.least(*parts) - 1e-9, F.greatest(*parts) + 1e-9).alias("between_models"),
+        ((F.col("outcome") == "pass") == (F.col("got") == F.col("expected"))).alias("outcome_ok"), summary.scalar().alias("mostly_right"))
+
+
+@query
+def bias_stress(spark, sf):
+    table = C.url_features(with_surrogates(_bias_urls(spark, sf)).withColumnRenamed("layer2", "ml_score"))
     return E.bias_results(table).select("url_id", "expected", "got", "outcome", F.round("ml_score", 4).alias("score"),
                                         "qty_slash", "has_https", "url_length")
 
