@@ -101,6 +101,11 @@ def test_predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- A sources and sinks --------------------------------------------------------------------
 
+def _has_line_breaks(df, *columns):
+    """Whether any text of ``columns`` spans lines, which decides how its CSV has to be read."""
+    return not df.where(F.concat_ws("", *columns).rlike(r"[\r\n]")).isEmpty()
+
+
 @query
 def src_csv_urls(spark, sf):
     path = shared_path(spark, "csv")
@@ -108,14 +113,15 @@ def src_csv_urls(spark, sf):
         F.col("url_id").alias("FILENAME"), F.col("url").alias("URL"), "kind", F.length("url").alias("URLLength"),
         (1 - F.col("label")).alias("label"))
     U.write_result(wide, path, "csv")
-    return U.read_labelled_csv(spark, path)
+    return U.read_labelled_csv(spark, path, line_breaks=_has_line_breaks(wide, "URL", "kind"))
 
 
 @query
 def src_csv_wide(spark, sf):
     path = shared_path(spark, "csv-wide")
     U.write_result(corpus(spark, sf), path, "csv")
-    return U.read_wide_csv(spark, path, "url_id bigint, kind string, label int, url string")
+    return U.read_wide_csv(spark, path, "url_id bigint, kind string, label int, url string",
+                           line_breaks=_has_line_breaks(corpus(spark, sf), "url", "kind"))
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F
 
 from lurewatch.workspace import path_exists
 
@@ -13,20 +13,26 @@ CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true
 CSV_READ = CSV_OPTIONS | {"emptyValue": "", "nullValue": "\x01"}  # what the parser puts in place of an empty field
 
 
+def _reader(spark: SparkSession, line_breaks: bool) -> DataFrameReader:
+    """A file whose fields hold line breaks has to be read whole by one task; any other is cut into parts."""
+    return spark.read.options(**CSV_READ | {"multiLine": str(line_breaks).lower()})
+
+
 def read_labelled_csv(spark: SparkSession, path: str, url: str = "URL", label: str = "label",
-                      schema: str | None = None) -> DataFrame:
+                      schema: str | None = None, line_breaks: bool = True) -> DataFrame:
     """Two columns of a wide CSV with header; the parser only materialises the selected columns.
 
-    ``schema`` declares all columns; without it they are taken from the header, as text.
+    ``schema`` declares all columns; without it they are taken from the header, as text. Say ``line_breaks=False``
+    of files in which every record is one line: they are split among tasks.
     """
-    reader = spark.read.options(**CSV_READ)
+    reader = _reader(spark, line_breaks)
     raw = (reader.schema(schema) if schema else reader).csv(path)
     return raw.select(F.col(url).alias("url"), F.col(label).cast("int").alias("source_label"))
 
 
-def read_wide_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """All columns under a declared schema."""
-    return spark.read.options(**CSV_READ).schema(schema).csv(path)
+def read_wide_csv(spark: SparkSession, path: str, schema: str, line_breaks: bool = True) -> DataFrame:
+    """All columns under a declared schema; ``line_breaks`` as in ``read_labelled_csv``."""
+    return _reader(spark, line_breaks).schema(schema).csv(path)
 
 
 def clean_feed(lines: DataFrame) -> DataFrame:

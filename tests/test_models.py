@@ -47,6 +47,34 @@ def test_same_seed_same_scores(sides, boosted):
     assert a == b
 
 
+def test_small_trees_walked_by_hand(spark, sides, tmp_path):
+    """The stored node table, walked in plain Python, gives the scores that the fitted models give."""
+    names, rows = FEATURES, sides[1].collect()
+    for kind, fit, params in (("forest", M.fit_forest, {"numTrees": 3, "maxDepth": 3}), ("boosted", M.fit_boosted, {"maxIter": 3, "maxDepth": 2})):
+        model = fit(sides[0], params)
+        learner = model.stages[-1]
+        learner.write().overwrite().save(str(tmp_path / kind))
+        nodes = {(r.treeID, r.nodeData.id): r.nodeData for r in spark.read.parquet(str(tmp_path / kind / "data")).collect()}
+
+        def leaf(tree, values):
+            node = nodes[tree, 0]
+            while node.leftChild >= 0:
+                split = node.split
+                left = values[split.featureIndex] <= split.leftCategoriesOrThreshold[0]
+                node = nodes[tree, node.leftChild if left else node.rightChild]
+            return node
+
+        got = {r.url_id: r.p for r in M.proba(sides[1], model, "p").select("url_id", "p").collect()}
+        for r in rows:
+            leaves = [leaf(t, [float(r[f]) for f in names]) for t in range(learner.getNumTrees)]
+            if kind == "forest":
+                expect = sum(x.impurityStats[1] / sum(x.impurityStats) for x in leaves) / len(leaves)
+            else:
+                margin = sum(x.prediction * w for x, w in zip(leaves, learner.treeWeights))
+                expect = 1 / (1 + math.exp(-2 * margin))
+            assert math.isclose(got[r.url_id], expect, rel_tol=1e-9), (kind, r.url_id)
+
+
 def test_importances_sum_to_one(spark, boosted, forest):
     rows = M.feature_importance(boosted, forest, spark).collect()
     assert len(rows) == 24

@@ -280,6 +280,20 @@ def test_csv_keeps_quotes_commas_backslashes_and_line_breaks(spark, tmp_path):
         ('http://a.com/?q="x",y', 1), ("http://b.com/\\", 0)]
 
 
+def test_csv_without_line_breaks_is_split(spark, tmp_path):
+    df = spark.range(30_000).select(F.concat(F.lit('http://h.com/?q="a",b\\'), "id").alias("URL"), (F.col("id") % 2).cast("int").alias("label"))
+    U.write_result(df.coalesce(1), str(tmp_path / "c"), "csv")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        whole, cut = (U.read_wide_csv(spark, str(tmp_path / "c"), "URL string, label int", line_breaks=b) for b in (True, False))
+        tasks = [x.select(F.spark_partition_id()).distinct().count() for x in (whole, cut)]
+        assert tasks[0] == 1 < tasks[1]
+        assert cut.exceptAll(df).count() == 0 and cut.count() == whole.count() == 30_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_split_with_null_labels(spark):
     rows = spark.createDataFrame([(i, None if i % 3 == 0 else i % 2) for i in range(301)], "url_id long, label int")
     n = {(r.label, r.split): r["count"] for r in P.stratified_split(rows).groupBy("label", "split").count().collect()}
