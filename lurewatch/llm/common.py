@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lurewatch.workspace import materialize, release, shared_path
 
-__all__ = ["barrier", "fresh", "ids_of", "materialize", "release", "shared_path", "spaced", "string_of", "words_of"]
+__all__ = ["NO_ID", "barrier", "fresh", "ids_of", "materialize", "release", "shared_path", "spaced", "string_of", "words_of"]
 
+#: What stands for a null id.
+NO_ID = -(2 ** 63)
 #: Characters that separate words: space and the five controls 09 to 0D.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -49,4 +51,4 @@ def barrier(df: DataFrame, **columns: Column) -> DataFrame:
 
 def ids_of(name: str) -> Column:
     """A null-safe join key for an integer id."""
-    return F.coalesce(F.col(name).cast("long"), F.lit(-(2 ** 63)).cast("long"))
+    return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID).cast("long"))

@@ -8,8 +8,8 @@ What comes back per document is a compressed bitmap of the lines to keep.
 
 Definitions: text is split at ``\\n``; a null or empty text is one empty line. A key is the line without
 space and control characters 09 to 0D at both ends, A-Z lower-cased; an empty key is never removed. Rows
-repeated with the same id and text count as one document and get the same answer; a null id is an id like
-any other. Extra columns are left alone. An empty table gives an empty result.
+repeated with the same id and text count as one document and get the same answer. Every row with a null id is a
+document of its own in the count; with ``keep="first"`` those of equal text keep the same lines. Extra columns are left alone. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lurewatch.llm.common import ids_of, materialize, string_of
+from lurewatch.llm.common import NO_ID, ids_of, materialize, string_of
 
 STRIP = b" \t\n\x0b\x0c\r"
 _ROWS = "h1 long, h2 long, doc long, txt long, pos binary"
@@ -92,7 +92,7 @@ def _stream(min_docs: int, keep_first: bool):
                         at_start = False
                     at_start = at_start and key is None
                     key, member, n, first, held = row[:2], None, 0, row[2:4], []
-                if row[2:4] == member:
+                if row[2:4] == member and row[2] != NO_ID:
                     continue  # a repeated row
                 member, n = row[2:4], n + 1
                 if at_start:
