@@ -5,9 +5,10 @@ compressed once per language, and the language with the smallest total is the pr
 most of what the text repeats. Blocks are short, so that a long text cannot become its own dictionary. The score is the relative
 margin to the second language; a margin below ``NARROW`` is rejected.
 
-Fitting reads a bounded sample: ``SAMPLE`` texts per language, ``PIECE`` characters of each, chosen by a hash of the id,
-so at most ``MAX_LANGUAGES`` * ``SAMPLE`` * ``PIECE`` characters reach the driver. The model is as large and travels to the
-tasks with the function; predicting reads whole texts.
+Fitting reads a bounded sample: ``SAMPLE`` texts per language, ``PIECE`` characters of each, chosen by a hash of the id.
+Above ``PIECES`` / ``SAMPLE`` languages, that is 500, each gets an equal share of ``PIECES`` texts, at least one, so about
+``PIECES`` * ``PIECE`` characters reach the driver. The model is as large and travels to the tasks with the function;
+predicting reads whole texts.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; equal totals go to the language with more
 training documents, then by name. A null id is never learned from. Without any labelled text every prediction is
@@ -28,7 +29,7 @@ from lurewatch.llm.common import ids_of
 
 SAMPLE = 512
 PIECE = 240
-MAX_LANGUAGES = 500
+PIECES = 256_000
 BLOCK = 1024
 LEVEL = 6
 NARROW = 0.005
@@ -47,19 +48,18 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     """Learn from the rows of ``docs`` with text and language."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"),
                        F.col(f"`{lang}`").alias("lang")).where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    counts = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").collect()  # one row per language
     if not counts:
         return Model((), ())
-    # A share of about four times the wanted rows by hash, then the smallest hashes: little is moved at any size.
-    limits = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 4 * SAMPLE / r["count"]) * 2.0 ** 32)])
+    sample = max(1, min(SAMPLE, PIECES // len(counts)))
+    # A share of more than the wanted rows by hash, four times ``SAMPLE``, then the smallest hashes: little is moved.
+    limits = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, (3 * sample + 512) / r["count"]) * 2.0 ** 32)])
     h = F.pmod(F.xxhash64(ids_of("doc_id"), F.lit(31)), F.lit(2 ** 32))
     piece = F.expr(f"substring(text, 1 + pmod(xxhash64(doc_id, 32), greatest(length(text) - {PIECE}, 1)), {PIECE})")
     near = rows.withColumn("_h", h).where(F.col("_h") <= limits[F.col("lang")]).select("lang", "_h", "doc_id", piece.alias("piece"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy("_h", "doc_id", "piece"))
     found: dict[str, list[str]] = {}
-    for r in near.withColumn("_r", rank).where(F.col("_r") <= SAMPLE).orderBy("lang", "_r").collect():
+    for r in near.withColumn("_r", rank).where(F.col("_r") <= sample).orderBy("lang", "_r").collect():
         found.setdefault(r["lang"], []).append(r["piece"])
     languages = tuple(r["lang"] for r in counts)
     return Model(languages, tuple("\n".join(found.get(x, [])).lower().encode() for x in languages))
