@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import tiktoken
 import xxhash
+import zstandard
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -113,6 +114,24 @@ def test_lines(spark, docs, keep, min_docs, parts):
             assert r.kept == exp[(r.doc_id, r.text)], (r.doc_id, keep)
 
 
+@pytest.mark.parametrize("parts", [1, 6])
+def test_lines_of_rows_without_id(spark, parts):
+    """Every row without an id is a document; rows that repeat id and text are one."""
+    rows = [(None, "Shared\n other ")] * 12 + [(None, "nine\ntimes")] * 9 + [(7, "again\nand again")] * 12 + [
+        (i, "tenth\nnine of ten") for i in range(20, 29)] + [(None, "TENTH\nown")]
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 10)
+        got = got.select("_row.doc_id", "_row.text", "kept", "n_dropped").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert len(got) == len(rows)
+    kept = {(r.doc_id, r.text): (r.kept, r.n_dropped) for r in got}
+    assert kept[None, "Shared\n other "] == ("", 2) and kept[None, "nine\ntimes"] == ("nine\ntimes", 0)
+    assert kept[7, "again\nand again"] == ("again\nand again", 0) and kept[None, "TENTH\nown"] == ("own", 1)
+    assert all(kept[i, "tenth\nnine of ten"] == ("nine of ten", 1) for i in range(20, 29))
+
+
 def test_lines_of_one_hot_key(spark):
     rows = [(i, f"hot line\nown {i}") for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
@@ -375,8 +394,61 @@ def test_language(spark, docs, empty):
     assert langid.identified(empty, model).count() == 0
 
 
+def test_language_like_plain_zstandard(spark):
+    """Totals, winner and margin against one fresh compressor for every block and language."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
+    texts = [r.text for r in docs.orderBy("doc_id").limit(60).collect()] + ["x", "ÄÖ ßü " * 400]
+    got = langid.identified(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in got:
+        data = (texts[r.doc_id] or "").lower().encode()
+        if not any(c.isalpha() for c in data.decode()):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        totals = []
+        for body in model.dictionaries:
+            words = zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            words.precompute_compress(level=langid.LEVEL)
+            totals.append(sum(len(zstandard.ZstdCompressor(
+                dict_data=words, write_checksum=False, write_content_size=False, write_dict_id=False).compress(data[i:i + langid.BLOCK]))
+                for i in range(0, len(data), langid.BLOCK)))
+        best, second = sorted(totals)[:2]
+        assert r.lang_pred == model.languages[totals.index(best)] and abs(r.score - (1 - best / second)) < 1e-12
+
+
+def test_language_of_many_languages(spark, monkeypatch):
+    """More languages than ``PIECES`` allows full samples for: all are learned, from fewer texts each."""
+    monkeypatch.setattr(langid, "PIECES", 1200)
+    names = [f"l{i:03d}" for i in range(600)]
+    rows = [(k * 600 + i, f"{x}a {x}b {x}c word {x}d" * 3, x) for k in range(3) for i, x in enumerate(names)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    assert model.languages == tuple(names) and all(d.decode().count("\n") == 1 for d in model.dictionaries)
+    classifier = langid.Classifier(model)
+    assert all(classifier.predict(f"{names[i]}a {names[i]}b {names[i]}c word {names[i]}d")[0] == names[i] for i in (0, 77, 501, 599))
+
+
 # ---- shards ---------------------------------------------------------------------------------
 
+
+def test_shards_like_plain_longest_first(spark):
+    """Every group goes, by size, to the shard that has the least so far; no two groups here have equal bytes."""
+    groups = {f"{i:03d}" + "é" * (7 * i): 1 + i * i % 13 for i in range(90)}
+    rows = [t for t, n in groups.items() for _ in range(n)]
+    bytes_of = {t: n * (len(t.encode()) + 16) for t, n in groups.items()}
+    assert len(set(bytes_of.values())) > 80
+    order = sorted({b for b in bytes_of.values() if list(bytes_of.values()).count(b) == 1}, reverse=True)
+    rows = [t for t in rows if bytes_of[t] in order]
+    loads, expect = [0] * 7, {}
+    by_bytes = {b: t for t, b in bytes_of.items()}
+    for b in order:
+        shard = min(range(7), key=lambda s: (loads[s], s))
+        loads[shard] += b
+        expect[by_bytes[b]] = shard
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = sharding.sharded(df, 7).collect()
+    assert len(got) == len(rows) and {(rows[r.doc_id], r.shard) for r in got} == set(expect.items())
+
+
 def test_shards(docs, empty):
     rows = sharding.sharded(docs, 4).collect()
     assert len(rows) == docs.count()
@@ -562,6 +634,28 @@ def test_pipeline_stage_by_stage(spark):
     assert all(hashlib.sha256(tokenizer.decode(r.ids)).hexdigest() == r.decoded_sha256 for r in out)
 
 
+def test_pipeline_lines_and_tokens_like_plain_python(spark):
+    """Line dedup on copies of 2, 12 and 100 and edited copies; tokens of the mix against the public library."""
+    rng = np.random.default_rng(5)
+    body = lambda g, n: [f"line {k} of text {g} with {rng.integers(10 ** 6)} and more" for k in range(n)]
+    texts = []
+    for g, (copies, n) in enumerate(((2, 4), (12, 5), (100, 3), (1, 6), (1, 2))):
+        base = body(g, n)
+        texts += ["\n".join(base)] * copies + ["\n".join([*base[:-1], f"edited {g} {k}"]) for k in range(3)]
+    texts = [t + "\n  Common Footer" * (i % 4) for i, t in enumerate(texts)]
+    rows = [(i, t, "en", "ab"[i % 2], len(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    cleaned = corpus_pipeline.line_dedup(spark, df, SF)
+    expect = expected_lines({(i, t) for i, t in enumerate(texts)}, 10, "first")
+    assert {(r.doc_id, r.text, r.n_chars) for r in cleaned.collect()} == {(i, expect[i, t], len(expect[i, t])) for i, t in enumerate(texts)}
+    mixed = corpus_pipeline.mix_sources(spark, corpus_pipeline.near_dedup(spark, cleaned, SF), SF)
+    mixed = mixing.materialize(mixed, "mixed").collect()
+    codec = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, special_tokens={}, mergeable_ranks=bpe.read_ranks(
+        public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    out = corpus_pipeline.tokenize(spark, spark.createDataFrame(mixed, df.schema), SF).collect()
+    assert sorted((r.doc_id, list(r.ids)) for r in out) == sorted((r.doc_id, codec.encode_ordinary(r.text)) for r in mixed)
+
+
 def test_pipeline_near_dedup_like_brute_force(spark):
     """The stage keeps the smallest id of every group of fingerprints that link at two bits or fewer."""
     rng = np.random.default_rng(11)
