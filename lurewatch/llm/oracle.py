@@ -27,7 +27,10 @@ b AS (SELECT *, CASE WHEN n_words < 10 THEN 1 ELSE 0 END
               + CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 16 ELSE 0 END
               + CASE WHEN 4 * n_ex > n_words THEN 32 ELSE 0 END AS bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed,
-       bits = 0 AS kept, bits::BIGINT AS fail_bits FROM b
+       bits = 0 AS kept, bits & 15 = 0 AS kept_web_1, bits::BIGINT AS fail_bits, sole_rule,
+       CASE WHEN sole_rule IS NOT NULL THEN count(*) OVER (PARTITION BY sole_rule) END AS n_sole
+FROM (SELECT *, CASE bits WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'symbols' WHEN 8 THEN 'duplicate_lines'
+             WHEN 16 THEN 'word_length' WHEN 32 THEN 'exclamations' END AS sole_rule FROM b)
 """
 
 _KEY = ("translate(trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), "

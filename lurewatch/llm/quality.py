@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lurewatch.llm.common import SPACES, barrier, spaced, string_of, words_of
+from lurewatch.llm.common import SPACES, barrier, materialize, spaced, string_of, words_of
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -104,6 +104,11 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.select(*own, *MEASURES, bits.alias("fail_bits"))
 
 
+def stored(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The ledger without the texts, written to the shared folder: what policies and ablations read."""
+    return materialize(ledger(docs, text).drop(text), "quality-ledger")
+
+
 def passes(policy: str) -> Column:
     """True where no rule of the policy failed."""
     return F.col("fail_bits").bitwiseAND(F.lit(mask(policy)).cast("long")) == 0
@@ -132,3 +137,14 @@ def ablation(rows: DataFrame, policy: str) -> DataFrame:
     return one.groupBy("rule").agg(
         F.coalesce(F.sum(F.when(failed, F.col("n"))), F.lit(0)).alias("n_failed"),
         F.coalesce(F.sum(F.when(F.col("bits") == F.col("bit"), F.col("n"))), F.lit(0)).alias("n_only"))
+
+
+def with_sole_rule(rows: DataFrame, policy: str) -> DataFrame:
+    """Add ``sole_rule``, the rule without which a rejected document would pass the policy (null where there is no single
+    one), and ``n_sole``, how many documents of the ledger it rejects alone. Columns of these names give way."""
+    bits = F.col("fail_bits").bitwiseAND(F.lit(mask(policy)).cast("long"))
+    sole = F.coalesce(*[F.when(bits == bit(r), r) for r in POLICIES[policy]])
+    alone = ablation(rows, policy).select(F.col("rule").alias("_rule"), F.col("n_only").alias("n_sole"))
+    df = rows.drop("n_sole").withColumn("sole_rule", sole)
+    # One row for each rule of the policy.
+    return df.join(F.broadcast(alone), F.col("sole_rule") == F.col("_rule"), "left").drop("_rule")

@@ -25,10 +25,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 @query
 def op6_quality_ledger(spark, sf):
-    rows = quality.ledger(table(spark, sf, "documents").select("doc_id", "text"))
-    return rows.select(
+    """Policies and the ablation of the strictest one, read from the stored ledger."""
+    rows = quality.stored(table(spark, sf, "documents").select("doc_id", "text"))
+    return quality.with_sole_rule(rows, "web-2").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        (~quality.passes("base-1")).alias("base_failed"), quality.passes("web-2").alias("kept"), "fail_bits")
+        (~quality.passes("base-1")).alias("base_failed"), quality.passes("web-2").alias("kept"),
+        quality.passes("web-1").alias("kept_web_1"), "fail_bits", "sole_rule", "n_sole")
 
 
 @query

@@ -72,6 +72,15 @@ def test_quality_measures_and_policies(docs, empty):
         b = quality.bit(r.rule)
         assert r.n_failed == sum(bool(x.fail_bits & b) for x in rows)
         assert r.n_only == sum(x.fail_bits == b for x in rows)
+    kept = quality.stored(docs)
+    assert set(docs.columns) - {"text"} <= set(kept.columns) and quality.with_sole_rule(quality.stored(empty), "web-1").count() == 0
+    for policy in quality.POLICIES:
+        found = quality.with_sole_rule(kept, policy).collect()
+        assert len(found) == len(rows)
+        for r in found:
+            failed = [x for x in quality.POLICIES[policy] if r.fail_bits & quality.bit(x)]
+            assert r.sole_rule == (failed[0] if len(failed) == 1 else None)
+            assert r.n_sole == (sum(x.sole_rule == r.sole_rule for x in found) if len(failed) == 1 else None)
 
 
 # ---- lines ----------------------------------------------------------------------------------
