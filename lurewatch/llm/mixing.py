@@ -142,7 +142,8 @@ def slots(sources: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataF
     counts = materialize(draws(runs).groupBy("_run", "_no").agg(F.count(F.lit(1)).alias("_count")), "mix-draws")
     earlier = W.partitionBy("_no").orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
     begun = counts.withColumn("_before", F.coalesce(F.sum("_count").over(earlier), F.lit(0)))
-    begun = begun.groupBy("_run").agg(F.map_from_entries(F.collect_list(F.struct("_no", "_before"))).alias("_begun"))
+    # Stored, since the planner would take the few rows of this aggregation, which are to be drawn out, in one task.
+    begun = materialize(begun.groupBy("_run").agg(F.map_from_entries(F.collect_list(F.struct("_no", "_before"))).alias("_begun")), "mix-begun")
     drawn = counts.groupBy("_no").agg(F.sum("_count").alias("_drawn"))
     lower = W.orderBy("_no").rowsBetween(W.unboundedPreceding, -1)
     fix = plan.join(drawn, "_no", "left").withColumn("_drawn", F.coalesce("_drawn", F.lit(0)))
