@@ -199,9 +199,17 @@ def learning_curve(train: DataFrame, kind: str = "boosted", params: dict | None
         gap < limit, "No overfitting").otherwise("Possible overfit")).alias("conclusion"))
 
 
-def fitting_table(train: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
-    """``train`` cached in parts of even size: a learner passes over it once per tree level."""
-    parts = -(-train.count() // rows_per_task) or 1
+def fitting_table(train: DataFrame, least_rows: int = 10_000, most_rows: int = 1_000_000) -> DataFrame:
+    """``train`` cached in one part per core: a learner passes over it once per tree level, in a job of its own.
+
+    In each such job every task starts anew and sends a histogram per node, feature and bin, whose size does not depend on its rows.
+    So there are fewer parts where one would have under ``least_rows`` rows, and more, by whole rounds of the cores,
+    only where one would pass ``most_rows``. Which rows share a part decides what the learner draws: another number
+    of cores may give another model of the same kind.
+    """
+    rows, cores = train.count(), train.sparkSession.sparkContext.defaultParallelism
+    rounds = -(-rows // (cores * most_rows))
+    parts = max(1, min(cores * rounds, rows // least_rows))
     return train.repartition(parts, "url_id").cache()
 
 

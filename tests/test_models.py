@@ -131,3 +131,11 @@ def test_grid_search_and_rank(sides):
 
 def test_features_have_no_nulls(sides):
     assert sides[0].where(" or ".join(f"{f} is null" for f in FEATURES)).count() == 0
+
+
+def test_fitting_table_has_a_part_per_core(spark):
+    cores = spark.sparkContext.defaultParallelism
+    for rows, most, parts in ((0, 10 ** 6, 1), (25_000, 10 ** 6, 2), (900_000, 10 ** 6, cores), (900_000, 50_000, 3 * cores)):
+        table = M.fitting_table(spark.range(rows).withColumnRenamed("id", "url_id"), most_rows=most)
+        assert table.rdd.getNumPartitions() == parts and table.distinct().count() == rows
+        table.unpersist()
