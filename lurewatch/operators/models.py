@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -213,6 +216,16 @@ def fitting_table(train: DataFrame, least_rows: int = 10_000, most_rows: int = 1
     return train.repartition(parts, "url_id").cache()
 
 
+def fit_side_by_side(rows: DataFrame, fits: dict[str, Callable[[DataFrame], PipelineModel]]) -> dict[str, PipelineModel]:
+    """A model per entry of ``fits``, all at a time over the same rows: a boosted tree waits for the one before it, and most of its
+    levels are too short to keep the cores busy."""
+    def one(name: str) -> tuple[str, PipelineModel]:
+        return name, fits[name](rows)
+
+    with ThreadPool(max(1, len(fits))) as pool:
+        return dict(pool.map(inheritable_thread_target(one), fits))
+
+
 def training_summary(train: DataFrame, test: DataFrame, model: PipelineModel, name: str,
                      seconds: float | None = None) -> DataFrame:
     """Sizes, feature count and settings of one training run as metric rows, with its time where given."""

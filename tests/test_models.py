@@ -1,6 +1,7 @@
 """Properties of trained models on specimen URLs; exact numbers depend on the learner."""
 
 import math
+import threading
 
 import numpy as np
 import pytest
@@ -139,3 +140,15 @@ def test_fitting_table_has_a_part_per_core(spark):
         table = M.fitting_table(spark.range(rows).withColumnRenamed("id", "url_id"), most_rows=most)
         assert table.rdd.getNumPartitions() == parts and table.distinct().count() == rows
         table.unpersist()
+
+
+def test_models_fitted_side_by_side_are_those_fitted_alone(sides, boosted, forest):
+    meet = threading.Barrier(2, timeout=60)  # breaks if one fit ends before the other begins
+
+    def after_meeting(fit, params):
+        return lambda rows: (meet.wait(), fit(rows, params))[1]
+
+    both = M.fit_side_by_side(sides[0], {"boosted": after_meeting(M.fit_boosted, SMALL_BOOST), "forest": after_meeting(M.fit_forest, SMALL_FOREST)})
+    alone = M.score_models(sides[1], boosted, forest).select("url_id", "p_boosted", "p_forest").collect()
+    assert sorted(alone) == sorted(M.score_models(sides[1], both["boosted"], both["forest"]).select("url_id", "p_boosted", "p_forest").collect())
+    assert M.fit_side_by_side(sides[0], {}) == {}
