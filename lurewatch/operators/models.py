@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lurewatch.fixed.rules import BOOST_GRID, BOOST_PARAMS, FOREST_GRID, FOREST_PARAMS, SEED
 from lurewatch.fixed.words import FEATURES
 from lurewatch.functions.keyed import keyed_uniform
-from lurewatch.operators import evaluate, hybrid, staged
+from lurewatch.operators import evaluate, hybrid, staged, trees
 from lurewatch.operators.prep import over_groups, stratified_folds
 
 
@@ -69,12 +69,29 @@ def _forest(params: dict, max_bins: int) -> RandomForestClassifier:
                                   **{**FOREST_PARAMS, **params})
 
 
-def fit_boosted(train: DataFrame, params: dict | None = None, max_bins: int = 128) -> PipelineModel:
-    return Pipeline(stages=[assembler(), _boosted(params or {}, max_bins)]).fit(train)
+#: Settings that the learners of ``trees`` know; any other one goes to ``spark.ml``. And what says that rows are not binned yet.
+GROWN_BY = {"boosted": {"maxIter", "maxDepth", "stepSize"}, "forest": {"numTrees", "maxDepth", "featureSubsetStrategy"}}
+NOT_BINNED = object()
 
 
-def fit_forest(train: DataFrame, params: dict | None = None, max_bins: int = 128) -> PipelineModel:
-    return Pipeline(stages=[assembler(), _forest(params or {}, max_bins)]).fit(with_class_weight(train))
+def fit_boosted(train: DataFrame, params: dict | None = None, max_bins: int = 128, data=NOT_BINNED) -> PipelineModel:
+    """Boosted trees, grown over ``data`` (``trees.binned`` of ``train``), or by ``spark.ml`` over ``train`` where that is None."""
+    learner = _boosted(params or {}, max_bins)
+    if set(params or {}) <= GROWN_BY["boosted"]:
+        data = trees.binned(train, max_bins) if data is NOT_BINNED else data
+        if data is not None:
+            return PipelineModel([assembler(), trees.boosted_model(train.sparkSession, data, learner)])
+    return Pipeline(stages=[assembler(), learner]).fit(train)
+
+
+def fit_forest(train: DataFrame, params: dict | None = None, max_bins: int = 128, data=NOT_BINNED) -> PipelineModel:
+    """A forest with class weights, grown as in ``fit_boosted``."""
+    learner = _forest(params or {}, max_bins)
+    if set(params or {}) <= GROWN_BY["forest"] and trees.subset_size(learner.getFeatureSubsetStrategy()):
+        data = trees.binned(train, max_bins) if data is NOT_BINNED else data
+        if data is not None:
+            return PipelineModel([assembler(), trees.forest_model(train.sparkSession, data, learner)])
+    return Pipeline(stages=[assembler(), learner]).fit(with_class_weight(train))
 
 
 def proba(df: DataFrame, model: PipelineModel, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lurewatch.fixed.words import FEATURES
-from lurewatch.operators import attribution, evaluate as E, models as M
+from lurewatch.operators import attribution, evaluate as E, models as M, trees
 from lurewatch.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -152,3 +152,106 @@ def test_models_fitted_side_by_side_are_those_fitted_alone(sides, boosted, fores
     alone = M.score_models(sides[1], boosted, forest).select("url_id", "p_boosted", "p_forest").collect()
     assert sorted(alone) == sorted(M.score_models(sides[1], both["boosted"], both["forest"]).select("url_id", "p_boosted", "p_forest").collect())
     assert M.fit_side_by_side(sides[0], {}) == {}
+
+
+def _made_up(rows, sizes, seed):
+    """Binned rows of random bins, counts and labels."""
+    rng = np.random.default_rng(seed)
+    codes = np.stack([rng.integers(0, s, rows) for s in sizes], axis=1).astype(np.uint8)
+    return trees.Binned(codes, rng.integers(0, 2, rows), rng.integers(1, 4, rows).astype(float), [np.arange(s - 1) + 0.5 for s in sizes], 128)
+
+
+def _walk(nodes, code):
+    at = 0
+    while nodes.left[at] >= 0:
+        at = nodes.left[at] + (code[nodes.feature[at]] > nodes.cut[at])
+    return at
+
+
+def test_regression_tree_is_the_plain_one():
+    data = _made_up(300, [5, 2, 9, 1, 30], 1)
+    r, w = np.random.default_rng(2).normal(size=300), data.counts
+
+    def plain(rows, depth):
+        """Row means of the tree that tries every cut."""
+        mean = np.average(r[rows], weights=w[rows])
+        best = (1e-9, None)
+        for f in range(5):
+            for cut in range(30):
+                low = data.codes[rows, f] <= cut
+                if low.any() and not low.all():
+                    sides = [(w[x] * r[x]).sum() ** 2 / w[x].sum() for x in (rows[low], rows[~low])]
+                    best = max(best, (sum(sides) - mean ** 2 * w[rows].sum(), (f, cut)), key=lambda x: x[0])
+        if not depth or best[1] is None:
+            return {i: mean for i in rows}
+        low = data.codes[rows, best[1][0]] <= best[1][1]
+        return {**plain(rows[low], depth - 1), **plain(rows[~low], depth - 1)}
+
+    nodes, says = trees.regression_tree(np.ascontiguousarray(data.codes.T), np.array([5, 2, 9, 1, 30]), w, r, 4)
+    expect = plain(np.arange(300), 4)
+    assert np.allclose(says, [expect[i] for i in range(300)])
+    stats = np.concatenate(nodes.stats)
+    assert all(math.isclose(stats[a, 1] / stats[a, 0], says[i]) for i in range(300) for a in [_walk(nodes, data.codes[i])])
+
+
+def test_forest_tree_holds_its_bootstrap_and_cuts_best():
+    sizes = [5, 2, 9, 1, 30]
+    data, weights = _made_up(300, sizes, 3), np.array([0.7, 1.9])
+    raw = np.random.default_rng(4).poisson(data.counts)
+    nodes = trees.forest_tree(data, weights, 6, 5, np.random.default_rng(4))
+    stats, counts = np.concatenate(nodes.stats), np.concatenate(nodes.raw)
+    ends = np.array([_walk(nodes, c) for c in data.codes])
+    for leaf in np.flatnonzero(nodes.left < 0):
+        own = ends == leaf
+        assert counts[leaf] == raw[own].sum() > 0
+        assert np.allclose(stats[leaf], [(raw * weights[data.labels])[own & (data.labels == k)].sum() for k in (0, 1)])
+
+    def worth(f, cut):
+        sides = [data.codes[:, f] <= cut, data.codes[:, f] > cut]
+        s = [[(raw * weights[data.labels])[x & (data.labels == k)].sum() for k in (0, 1)] for x in sides]
+        return sum((a * a + b * b) / (a + b) for a, b in s) if all(a + b for a, b in s) else -1
+    assert math.isclose(worth(nodes.feature[0], nodes.cut[0]), max(worth(f, c) for f in range(5) for c in range(30)))
+
+
+def test_fits_take_few_jobs_whatever_the_trees(spark, sides):
+    """A job per tree level, as before, makes 80 of them for 20 trees of depth 4."""
+    tracker = spark.sparkContext.statusTracker()
+    for name, fit, params in (("few-b", M.fit_boosted, {"maxIter": 20, "maxDepth": 4}), ("few-f", M.fit_forest, {"numTrees": 20, "maxDepth": 14})):
+        spark.sparkContext.setJobGroup(name, name)
+        try:
+            model = fit(sides[0], params)
+            assert len(tracker.getJobIdsForGroup(name)) < 30
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert model.stages[-1].getNumTrees == 20
+
+
+def test_model_depends_on_rows_only(sides):
+    """Parts, order and copies of every row do not change the trees."""
+    rows, twice = sides[0], sides[0].unionByName(sides[0])
+    seen = []
+    for table in (rows.coalesce(1), rows.repartition(7)):
+        seen.append(M.fit_boosted(table, SMALL_BOOST).stages[-1].toDebugString.split("\n", 1)[1])
+        seen.append(M.fit_forest(table, SMALL_FOREST).stages[-1].toDebugString.split("\n", 1)[1])
+    assert seen[:2] == seen[2:]
+    one, two = trees.binned(rows), trees.binned(twice)
+    assert (one.codes == two.codes).all() and (2 * one.counts == two.counts).all()
+
+
+def test_tables_that_spark_ml_has_to_learn(sides):
+    rows = sides[0]
+    assert trees.binned(rows, most_rows=10) is None and trees.binned(rows, max_bins=300) is None
+    assert trees.binned(rows.withColumn("label", F.lit(1))) is None and trees.binned(rows.limit(0)) is None
+    for odd in (F.lit(None).cast("double"), F.lit(float("nan"))):
+        assert trees.binned(rows.withColumn("url_entropy", F.when(F.col("qty_dot") > 2, odd).otherwise(F.col("url_entropy")))) is None
+    assert M.fit_boosted(rows, {"maxIter": 2, "maxDepth": 2}, data=None).stages[-1].getNumTrees == 2
+    assert [trees.subset_size(s) for s in ("sqrt", "log2", "0.5", "all", "auto")] == [5, 5, 12, 24, None]
+
+
+def test_bins_hold_every_value_or_equal_shares(spark):
+    few = [F.col("id") % 7 / 7 if f == "url_entropy" else F.col("id").cast("double") if f == "alpha_ratio" else F.lit(1) for f in FEATURES]
+    cuts = trees.bin_cuts(spark.range(3000).select(*[c.alias(f) for c, f in zip(few, FEATURES)]), 16)
+    by = dict(zip(FEATURES, cuts))
+    assert np.allclose(by["url_entropy"], (np.arange(6) + 0.5) / 7) and not len(by["qty_dot"])
+    shares = np.diff([-1, *by["alpha_ratio"], 2999])
+    assert len(shares) == 16 and shares.min() > 180 and shares.max() < 195
