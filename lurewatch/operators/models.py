@@ -103,7 +103,12 @@ def proba(df: DataFrame, model: PipelineModel, name: str) -> DataFrame:
 def score_models(df: DataFrame, boosted: PipelineModel, forest: PipelineModel,
                  weights=(hybrid.BOOST_WEIGHT, hybrid.FOREST_WEIGHT)) -> DataFrame:
     """Append p_boosted, p_forest and their weighted sum ``ml_score``."""
-    df = proba(proba(df, boosted, "p_boosted"), forest, "p_forest")
+    scores = trees.both_scores(df.sparkSession, boosted, forest)
+    if scores is None:
+        df = proba(proba(df, boosted, "p_boosted"), forest, "p_forest")
+    else:  # the assembler refuses missing values, as it does for the models
+        filled = boosted.stages[0].copy({boosted.stages[0].outputCol: "_features"}).transform(df)
+        df = filled.select(*df.columns, scores(vector_to_array("_features")).alias("_p")).select(*df.columns, "_p.*")
     return df.withColumn("ml_score", hybrid.ensemble_score(F.col("p_boosted"), F.col("p_forest"), weights))
 
 

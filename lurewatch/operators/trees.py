@@ -5,6 +5,8 @@ and rows of equal bins and label become one row with a count, which a learner of
 tasks in a byte per value: a task grows whole trees of the forest, another one the chain of boosted trees. Trees, depths, bins,
 bootstrap and feature subsets are those of ``spark.ml``. Rows are sorted by their bins, so that the model depends neither on
 the parts of the table nor on the number of cores. ``binned`` says when a table is not one for this module.
+
+``both_scores`` applies two fitted ensembles to a batch of rows at a time: all rows go down all trees level by level.
 """
 
 from __future__ import annotations
@@ -12,16 +14,18 @@ from __future__ import annotations
 import json
 import math
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml import PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassificationModel, GBTClassifier, RandomForestClassificationModel, RandomForestClassifier)
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lurewatch.fixed.words import FEATURES
 from lurewatch.workspace import materialize, release, remove, shared_path
@@ -32,6 +36,8 @@ MOST_ROWS = 2_000_000
 ROUNDING = 1e-12
 #: Nodes whose histograms are looked at together.
 NODES_AT_ONCE = 4_096
+#: Rows that go down the trees together, few enough for the cache, and levels after which rows that have arrived step aside.
+ROWS_AT_ONCE, LEVELS_AT_ONCE = 256, 4
 
 NODE_SCHEMA = ("treeID int, nodeData struct<id:int,prediction:double,impurity:double,impurityStats:array<double>,rawCount:bigint,gain:double,"
                "leftChild:int,rightChild:int,split:struct<featureIndex:int,leftCategoriesOrThreshold:array<double>,numCategories:int>>")
@@ -368,3 +374,67 @@ def forest_model(spark: SparkSession, data: Binned, learner: RandomForestClassif
     model = _load(spark, spark.range(0, trees, 1, parts).mapInArrow(run, NODE_SCHEMA), learner, tree, [1.0] * trees)
     shipped.destroy()
     return model
+
+
+class _Walk:
+    """A fitted ensemble as arrays of nodes; a leaf is its own child."""
+
+    def __init__(self, model, spark: SparkSession):
+        path = shared_path(spark, "walked-trees")
+        model.write().overwrite().save(path)
+        n = F.col("nodeData")
+        table = spark.read.parquet(f"{path}/data").select(
+            F.col("treeID").alias("tree"), n["id"].alias("id"), n["leftChild"].alias("left"), n["rightChild"].alias("right"),
+            n["split"]["featureIndex"].alias("feature"), F.get(n["split"]["leftCategoriesOrThreshold"], 0).alias("limit"),
+            n["split"]["numCategories"].alias("categories"), n["prediction"].alias("prediction"),
+            F.get(n["impurityStats"], 0).alias("s0"), F.get(n["impurityStats"], 1).alias("s1")).toArrow()  # as large as the fitted model
+        remove(spark, path)
+        c = {name: table.column(name).to_numpy() for name in table.column_names}
+        order = np.lexsort((c["id"], c["tree"]))
+        c = {name: v[order] for name, v in c.items()}
+        self.roots = np.searchsorted(c["tree"], np.arange(model.getNumTrees))
+        start, own, inner = self.roots[c["tree"]], np.arange(len(order)), c["left"] >= 0
+        self.plain = bool((c["categories"] < 0).all())
+        self.feature, self.limit = np.where(inner, c["feature"], 0).astype(np.int64), np.where(inner, c["limit"], np.inf)
+        self.child = np.stack([np.where(inner, c[k] + start, own) for k in ("left", "right")], axis=1).ravel().astype(np.int64)
+        self.inner = inner
+        self.boosted = isinstance(model, GBTClassificationModel)
+        self.value = c["prediction"] * np.array(model.treeWeights)[c["tree"]] if self.boosted else c["s1"] / (c["s0"] + c["s1"])
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """The probability of class 1 per row of ``x``."""
+        out, trees = np.empty(len(x)), len(self.roots)
+        for begin in range(0, len(x), ROWS_AT_ONCE):
+            part = np.ascontiguousarray(x[begin:begin + ROWS_AT_ONCE])
+            flat, ends = part.ravel(), np.tile(self.roots, len(part))
+            place = np.repeat(np.arange(len(part)) * x.shape[1], trees)
+            todo, node = np.arange(len(ends)), ends
+            while len(todo):
+                for _ in range(LEVELS_AT_ONCE):
+                    node = self.child.take(2 * node + (flat.take(place + self.feature.take(node)) > self.limit.take(node)))
+                ends[todo] = node
+                on = self.inner.take(node)
+                todo, node, place = todo[on], node[on], place[on]
+            total = self.value.take(ends).reshape(len(part), trees).sum(axis=1)
+            out[begin:begin + len(part)] = 1 / (1 + np.exp(np.minimum(-2 * total, 700))) if self.boosted else total / trees
+        return out
+
+
+def both_scores(spark: SparkSession, boosted: PipelineModel, forest: PipelineModel) -> Callable[[Column], Column] | None:
+    """What turns an array of the feature values into a struct of ``p_boosted`` and ``p_forest``; None for models of another make."""
+    for model, kind in ((boosted, GBTClassificationModel), (forest, RandomForestClassificationModel)):
+        if len(model.stages) != 2 or not isinstance(model.stages[0], VectorAssembler) or not isinstance(model.stages[1], kind):
+            return None
+        if model.stages[0].getInputCols() != FEATURES or model.stages[1].numFeatures != len(FEATURES) or model.stages[1].numClasses != 2:
+            return None
+    walks = [_Walk(model.stages[1], spark) for model in (boosted, forest)]
+    if not all(w.plain for w in walks):
+        return None
+    shipped, width = spark.sparkContext.broadcast(walks), len(FEATURES)
+
+    @F.arrow_udf("struct<p_boosted:double,p_forest:double>")
+    def scores(values: pa.Array) -> pa.Array:
+        x = values.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        return pa.StructArray.from_arrays([pa.array(w.scores(x)) for w in shipped.value], names=["p_boosted", "p_forest"])
+
+    return scores

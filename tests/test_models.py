@@ -255,3 +255,26 @@ def test_bins_hold_every_value_or_equal_shares(spark):
     assert np.allclose(by["url_entropy"], (np.arange(6) + 0.5) / 7) and not len(by["qty_dot"])
     shares = np.diff([-1, *by["alpha_ratio"], 2999])
     assert len(shares) == 16 and shares.min() > 180 and shares.max() < 195
+
+
+def test_both_scores_are_those_of_spark_ml(sides, forest):
+    """Trees grown here and by ``spark.ml``, deep and of one node, applied in batches in one Python step."""
+    rows = sides[1]
+    stump = M.fit_boosted(sides[0], {"maxIter": 2, "maxDepth": 0})
+    for b, f in ((M.fit_boosted(sides[0], SMALL_BOOST, data=None), M.fit_forest(sides[0], {"numTrees": 5, "maxDepth": 20})), (stump, forest)):
+        scored = M.score_models(rows, b, f)
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+        old = {r.url_id: (r.b, r.f) for r in M.proba(M.proba(rows, b, "b"), f, "f").select("url_id", "b", "f").collect()}
+        got = {r.url_id: (r.p_boosted, r.p_forest) for r in scored.collect()}
+        assert old.keys() == got.keys() and all(np.allclose(got[k], old[k], rtol=0, atol=1e-12) for k in old)
+        assert scored.columns == [*rows.columns, "p_boosted", "p_forest", "ml_score"]
+    assert M.score_models(rows.limit(0), stump, forest).count() == 0
+    with pytest.raises(Exception, match="null"):
+        M.score_models(rows.withColumn("url_entropy", F.lit(None).cast("double")), stump, forest).collect()
+
+
+def test_models_of_another_make_are_scored_by_themselves(spark, sides, boosted):
+    logistic = M.fit_logistic(sides[0], max_iter=5)
+    assert trees.both_scores(spark, boosted, logistic) is None
+    assert M.score_models(sides[1], boosted, logistic).where("ml_score between 0 and 1").count() == sides[1].count()
